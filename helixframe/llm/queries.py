@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op7_bpe": op7_bpe,
 }
 ORACLES = {
     "op1_url_filters": OP1_SQL,
