@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .toxicity import op5_toxicity
 from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
 }
 ORACLES = {
