@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ASCII_FOLD, LOWER, UPPER, table
 
 #: Characters of a text without a space from which it is halved.
 LEAF_CHARS = 4096
 #: Characters of a document from which its pieces are encoded by different tasks.
 PIECE_CHARS = 1 << 16
 #: Pieces without a space in a generation of a Python worker's cache.
-CACHE = 200_000
+CACHE = 500_000
 #: Characters between a join and the tokens that must agree; above the longest special token.
 GUARD = 64
 
@@ -137,6 +137,16 @@ def tree_encoded(own, text: str, leaf: int = LEAF_CHARS) -> Encoded:
     return tree_joined(own, texts, [Encoded.of(own, t) for t in texts])
 
 
+#: What a piece without tokens stands for in the cache.
+NOTHING = ("", "")
+
+
+def _folds(own) -> bool:
+    """Does the vocabulary take A-Z as a-z, and a mark after letters by itself?"""
+    tokens = lambda t: own.encode(t, add_special_tokens=False).ids
+    return tokens(UPPER) == tokens(LOWER) and all(tokens(f"ab{c}") == tokens("ab") + tokens(c) for c in ".,")
+
+
 class Encoder:
     """Encodes and decodes whole texts, with a cache of the pieces between spaces
     in two generations: when the young one is full, the old one is forgotten.
@@ -144,30 +154,56 @@ class Encoder:
 
     def __init__(self, path: str, leaf: int = LEAF_CHARS) -> None:
         self.own, self.leaf, self.young, self.old = tokenizer(path), leaf, {}, {}
+        self.long: list[str] = []
+        self.folds = _folds(self.own)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and the two digests."""
-        pieces = [w for w in text.replace("\n", " ").split(" ") if w]
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        known, old, new = self.young, self.old, []
-        for w in set(pieces).difference(known):
+        if self.folds and "<|" not in text:  # special tokens are told by their case
+            text = text.encode().translate(ASCII_FOLD).decode()
+        pieces = [w for w in text.replace("\n", " ").split(" ") if w]
+        found = list(map(self.young.get, pieces))
+        if None in found:
+            self.learn({w for w, x in zip(pieces, found, strict=True) if x is None})
+            found = [self.young[w] for w in pieces]
+        if NOTHING in found:
+            found = [x for x in found if x is not NOTHING]
+        ids_text = " ".join([x[0] for x in found])
+        digest = (ids_text.count(" ") + 1 if ids_text else 0, _hex(ids_text), _hex(" ".join([x[1] for x in found])))
+        for w in self.long:  # these are not kept
+            del self.young[w]
+        self.long.clear()
+        return digest
+
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the pieces into the young generation."""
+        known, old = self.young, self.old
+        new, ending = [], []
+        for w in pieces:
             if w in old:
                 known[w] = old[w]
+            elif len(w) > self.leaf:
+                self.long.append(w)
+            elif self.folds and len(w) > 1 and w[-1] in ".," and w[-2].lower().isalpha():
+                ending.append(w)  # letters end before the mark, which is a piece of its own
             else:
                 new.append(w)
-        long = [w for w in new if len(w) > self.leaf]
-        if new:
-            short = [w for w in new if len(w) <= self.leaf]
-            ids = [e.ids for e in self.own.encode_batch_fast(short, add_special_tokens=False)]
-            ids += [tree_encoded(self.own, w, self.leaf).ids.tolist() for w in long]
-            for w, i, d in zip(short + long, ids, self.own.decode_batch(ids, skip_special_tokens=False), strict=True):
-                known[w] = (" ".join(map(str, i)), d) if i else None
-        found = [x for x in [known[w] for w in pieces] if x]
-        for w in long:  # these are not kept
-            del known[w]
-        ids_text = " ".join([x[0] for x in found])
-        return ids_text.count(" ") + 1 if ids_text else 0, _hex(ids_text), _hex(" ".join([x[1] for x in found]))
+        parts = {p for w in ending for p in (w[:-1], w[-1])}.difference(known, new)
+        for p in parts:
+            if p in old:
+                known[p] = old[p]
+            else:
+                new.append(p)
+        if new or self.long:
+            ids = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
+            ids += [tree_encoded(self.own, w, self.leaf).ids.tolist() for w in self.long]
+            for w, i, d in zip(new + self.long, ids, self.own.decode_batch(ids, skip_special_tokens=False), strict=True):
+                known[w] = (" ".join(map(str, i)), d) if i else NOTHING
+        for w in ending:
+            a, b = known[w[:-1]], known[w[-1]]
+            known[w] = (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}") if a is not NOTHING and b is not NOTHING else a if b is NOTHING else b
 
 
 def _hex(text: str) -> str:
