@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .simhash import op4_simhash
 from .toxicity import op5_toxicity
 from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
 }
