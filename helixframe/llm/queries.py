@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op4_simhash
 from .toxicity import op5_toxicity
 from .url_filters import OP1_SQL, op1_url_filters
@@ -12,7 +13,9 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op1_url_filters": OP1_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
