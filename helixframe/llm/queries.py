@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .decontaminate import op2_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .simhash import op4_simhash
 from .toxicity import op5_toxicity
@@ -10,6 +11,7 @@ from .url_filters import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_decontamination": op2_decontamination,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
