@@ -66,14 +66,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> bytes:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_py()) for t in batch.column(1)]
+        prints = [fingerprint(t.as_py()) for t in batch.column(2)]
         signed = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["_hf_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed)], names=["_hf_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_hf_id and fp (the fingerprint as a signed long) of every document."""
-    return docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.col(text_col).alias("_hf_text")).mapInArrow(_fingerprints, "_hf_id long, fp long")
+    """_hf_id, text_hash and fp (the fingerprint as a signed long) of every document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_hf_text"))
+    return rows.mapInArrow(_fingerprints, "_hf_id long, text_hash long, fp long")
 
 
 class BKTrees:
@@ -195,7 +196,8 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, blocks: int | None = No
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each document: ``id_col``, fingerprint (16 hex digits), component_id
-    (the least id that is reachable over links) and root (its fingerprint node).
+    (the least id that is reachable over links), root (the component's fingerprint
+    node) and text_hash (XXH64 of the whole text).
     """
     by_doc = stored(fingerprints(docs, id_col, text_col), "simhash-docs")
     prints = stored(by_doc.groupBy("fp").agg(F.min("_hf_id").alias("least")), "simhash-prints")
@@ -204,9 +206,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = linked.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
     every = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     out = by_doc.join(every, "fp")
-    return out.select(F.col("_hf_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    return out.select(F.col("_hf_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the least
+    id (null last), then text hash; of rows with the same id and text, one.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, radius, blocks, shard_rows).withColumnRenamed(id_col, "_hf_id"), "simhash-found")
+    row = F.struct(F.col("_hf_id").isNull(), "_hf_id", "text_hash")
+    winners = found.groupBy("root").agg(F.min(row).alias("winner"))
+    losers = found.join(winners, "root").filter(row != F.col("winner")).select("_hf_id", "text_hash").distinct()
+    same = docs[id_col].cast("long").eqNullSafe(losers["_hf_id"]) & (F.xxhash64(docs[text_col]) == losers["text_hash"])
+    kept = docs.join(losers, same, "left_anti")
+    if found.groupBy("_hf_id", "text_hash").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_hf_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hf_hash"]).drop("_hf_hash")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("root")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("root", "text_hash")
