@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .decontaminate import op2_decontamination
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .pii import op8_pii
 from .simhash import op4_simhash
 from .topk import OP3_SQL, op3_topk
 from .toxicity import op5_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
