@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .decontaminate import op2_decontamination
+from .licenses import op9_licenses
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .pii import op8_pii
 from .simhash import op4_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_pii": op8_pii,
+    "op9_licenses": op9_licenses,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
