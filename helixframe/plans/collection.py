@@ -26,9 +26,8 @@ BATCH = 50
 
 def layout(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
     """Segments with group_id, in_group_id, is_rev_comp and seq as its group keeps it."""
-    cut = segments.with_sequence(segments.segment(contigs, splitters, k), contigs)
-    keyed = grouping.with_keys(cut)
-    placed = grouping.assign_groups(keyed, grouping.group_table(keyed))
+    keyed = stored(grouping.with_keys(segments.segment(contigs, splitters, k)), "keyed")
+    placed = segments.with_sequence(grouping.assign_groups(keyed, grouping.group_table(keyed)), contigs)
     return grouping.in_group_ids(placed.withColumn("seq", grouping.oriented(F.col("seq"))))
 
 
