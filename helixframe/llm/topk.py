@@ -67,7 +67,7 @@ class CoverTree:
             node = nodes[at]
             at += 1
             a, b = node[4], node[5]
-            members = order[a:b]
+            members = order[a:b].copy()  # the range is written below
             far = np.sqrt(((points[members] - points[node[0]]) ** 2).sum(axis=1))
             node[1] = float(far.max(initial=0.0))
             if b - a <= LEAF or node[1] == 0:
