@@ -8,8 +8,8 @@ line stands in the input, not whether it is kept itself. Lines without words sta
 
 Near repeats, among the distinct lines (one row each, with the place of its first):
 
-1. Of two lines one edit apart, the first or the last half is the same. Halves become
-   hashed keys; only lines that share one go on (no pair is lost).
+1. Of two lines one edit apart, the beginning or the end is the same, up to the half.
+   Both become hashed keys; only lines that share one go on (no pair is lost).
 2. Each of these emits its deletion variants as hashed keys: the line without word j,
    for each j, and the line itself. A key is the exclusive-or of a hash of every word
    and its place, so running values over the words give all variants of a line in
@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
+#: Fewest words of lines that are compared with others by edits; 2 or more.
 MIN_WORDS = 5
 
 
-def words_of(line: Column) -> Column:
-    """The words of a line in which spaces() has been at work."""
-    plain = F.split(F.trim(line), " ")
-    return F.when(F.contains(line, F.lit("  ")), F.filter(plain, lambda w: w != "")).otherwise(plain)
+def plain(line: Column) -> Column:
+    """The words of a line in which spaces() has been at work, with one space between."""
+    text = F.trim(line)
+    return F.when(F.contains(text, F.lit("  ")), F.array_join(F.filter(F.split(text, " "), lambda w: w != ""), " ")).otherwise(text)
 
 
 def spaces(text: Column) -> Column:
@@ -61,15 +62,22 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return some.select(F.col(id_col).cast("long").alias("doc"), F.split(spaces(F.col(text_col)), "\n", -1).alias("lines"))
 
 
-def half_keys(words: Column) -> Column:
-    """Keys of the halves of a line, as the shorter of a pair and as the longer."""
-    n = F.size(words)
+def end_keys(line: Column, n: Column, min_words: int) -> Column:
+    """Keys of the beginning and the end of a line of ``n`` words. Lines of 2^b to
+    2^(b+1) - 1 words are keyed by 2^(b-1) words at either end, a half to a quarter of
+    them: one edit leaves one of the two as it is. A line of just 2^b words is also keyed
+    as those below, as it may be one of them with a word more. Words are found by their
+    spaces, without splitting the line.
+    """
+    b = F.length(F.bin(n)) - 1
+    size = F.call_function("shiftleft", F.lit(1), b - 1)
 
-    def of(size: Column) -> list[Column]:
-        first = F.floor(size / 2).cast("int")
-        return [F.xxhash64(F.lit(0), size, F.slice(words, 1, first)), F.xxhash64(F.lit(1), size, F.slice(words, n - (size - first) + 1, size - first))]
+    def of(bucket: Column, some: Column) -> list[Column]:
+        cut = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
+        return [F.xxhash64(F.lit(0), bucket, cut(some)), F.xxhash64(F.lit(1), bucket, cut(-some))]
 
-    return F.array(*of(n), *of(n - 1))
+    below = (n == 2 * size) & (n > min_words)
+    return F.when(below, F.array(*of(b, size), *of(b - 1, F.floor(size / 2).cast("int")))).otherwise(F.array(*of(b, size)))
 
 
 def variants(texts: DataFrame) -> DataFrame:
@@ -108,11 +116,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     earlier line, which has the same words or is an edit away) and edits (0 or 1).
     """
     place = F.struct("doc", "line")
-    n = F.size("words")
-    each = lines_of(docs, id_col, text_col).select("doc", F.posexplode("lines").alias("line", "text")).filter(F.trim("text") != "")
-    rows = each.select("doc", F.col("line").cast("long").alias("line"), words_of(F.col("text")).alias("words")).select(
-        "doc", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.when(n >= min_words, half_keys(F.col("words"))).alias("keys")
-    )
+    each = lines_of(docs, id_col, text_col).select("doc", F.posexplode("lines").alias("line", "text")).select("doc", F.col("line").cast("long").alias("line"), plain(F.col("text")).alias("t")).filter("t != ''")
+    each = each.withColumn("n", F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
+    rows = each.select("doc", "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), F.when(F.col("n") >= min_words, end_keys(F.col("t"), F.col("n"), min_words)).alias("keys"))
     rows = stored(rows, "lines")
     exact = ["h1", "h2"]
     first = stored(rows.groupBy(*exact).agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "distinct-lines")
@@ -123,10 +129,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     # Whole documents cross to their candidates, not single lines: fewer and larger rows.
     texts = lines_of(docs, id_col, text_col).join(wanted, "doc")
     texts = texts.select("doc", F.explode(F.transform("wanted", lambda c: F.struct(c["line"].alias("line"), c["h1"].alias("h1"), c["h2"].alias("h2"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("c"))
-    texts = texts.select("doc", "c.*").filter("text IS NOT NULL").withColumn("words", words_of(F.col("text"))).drop("text")
+    texts = texts.select("doc", "c.*").filter("text IS NOT NULL").withColumn("t", plain(F.col("text"))).drop("text")
     # Rows that repeat a document id may share a place: the hashes tell their lines.
-    texts = texts.filter((F.xxhash64("words") == F.col("h1")) & (F.xxhash64(F.lit(1), "words") == F.col("h2"))).dropDuplicates(exact)
-    texts = stored(texts, "line-texts")
+    texts = texts.filter((F.xxhash64("t") == F.col("h1")) & (F.xxhash64(F.lit(1), "t") == F.col("h2"))).dropDuplicates(exact)
+    texts = stored(texts.withColumn("words", F.split("t", " ")).drop("t"), "line-texts")
     emitted = variants(texts.select(*exact, place.alias("place"), "words"))
     near = near_witness(emitted)
     a, b = texts.select(*exact, "words"), texts.select("doc", "line", F.col("words").alias("witness"))
