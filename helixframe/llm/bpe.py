@@ -39,7 +39,7 @@ LEAF_CHARS = 4096
 #: Characters of a document from which its pieces are encoded by different tasks.
 PIECE_CHARS = 1 << 16
 #: Pieces without a space in a generation of a Python worker's cache.
-CACHE = 500_000
+CACHE = 400_000
 #: Characters between a join and the tokens that must agree; above the longest special token.
 GUARD = 64
 
@@ -137,10 +137,6 @@ def tree_encoded(own, text: str, leaf: int = LEAF_CHARS) -> Encoded:
     return tree_joined(own, texts, [Encoded.of(own, t) for t in texts])
 
 
-#: What a piece without tokens stands for in the cache.
-NOTHING = ("", "")
-
-
 def _folds(own) -> bool:
     """Does the vocabulary take A-Z as a-z, and a mark after letters by itself?"""
     tokens = lambda t: own.encode(t, add_special_tokens=False).ids
@@ -156,6 +152,10 @@ class Encoder:
         self.own, self.leaf, self.young, self.old = tokenizer(path), leaf, {}, {}
         self.long: list[str] = []
         self.folds = _folds(self.own)
+        size = self.own.get_vocab_size(with_added_tokens=True)
+        self.names = [str(i) for i in range(size)]
+        # Without a decoder the decoded text is the tokens with a space between.
+        self.signs = [self.own.id_to_token(i) or "" for i in range(size)] if self.own.decoder is None else None
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and the two digests."""
@@ -166,12 +166,14 @@ class Encoder:
         pieces = [w for w in text.replace("\n", " ").split(" ") if w]
         found = list(map(self.young.get, pieces))
         if None in found:
-            self.learn({w for w, x in zip(pieces, found, strict=True) if x is None})
-            found = [self.young[w] for w in pieces]
-        if NOTHING in found:
-            found = [x for x in found if x is not NOTHING]
-        ids_text = " ".join([x[0] for x in found])
-        digest = (ids_text.count(" ") + 1 if ids_text else 0, _hex(ids_text), _hex(" ".join([x[1] for x in found])))
+            missing = [i for i, x in enumerate(found) if x is None]
+            self.learn({pieces[i] for i in missing})
+            for i in missing:
+                found[i] = self.young[pieces[i]]
+        # Each entry is identifiers, a tab, and the decoded text, which holds no tab.
+        both = "\t".join([x for x in found if x] if "" in found else found).split("\t")
+        ids_text = " ".join(both[::2])
+        digest = (ids_text.count(" ") + 1 if ids_text else 0, _hex(ids_text), _hex(" ".join(both[1::2])))
         for w in self.long:  # these are not kept
             del self.young[w]
         self.long.clear()
@@ -199,11 +201,17 @@ class Encoder:
         if new or self.long:
             ids = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
             ids += [tree_encoded(self.own, w, self.leaf).ids.tolist() for w in self.long]
-            for w, i, d in zip(new + self.long, ids, self.own.decode_batch(ids, skip_special_tokens=False), strict=True):
-                known[w] = (" ".join(map(str, i)), d) if i else NOTHING
+            names, signs = self.names, self.signs
+            decoded = [" ".join([signs[t] for t in i]) for i in ids] if signs else self.own.decode_batch(ids, skip_special_tokens=False)
+            for w, i, d in zip(new + self.long, ids, decoded, strict=True):
+                known[w] = " ".join([names[t] for t in i]) + "\t" + d if i else ""
         for w in ending:
             a, b = known[w[:-1]], known[w[-1]]
-            known[w] = (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}") if a is not NOTHING and b is not NOTHING else a if b is NOTHING else b
+            if a and b:
+                (x, y), (u, v) = a.split("\t"), b.split("\t")
+                known[w] = f"{x} {u}\t{y} {v}"
+            else:
+                known[w] = a or b
 
 
 def _hex(text: str) -> str:
