@@ -11,13 +11,12 @@ Near repeats, among the distinct lines (one row each, with the place of its firs
 1. Of two lines one edit apart, the beginning or the end is the same, up to the half.
    Both become hashed keys; only lines that share one go on (no pair is lost).
 2. Each of these emits its deletion variants as hashed keys: the line without word j,
-   for each j, and the line itself. A key is the exclusive-or of a hash of every word
-   and its place, so running values over the words give all variants of a line in
-   time proportional to its length.
-3. Equal keys join by an aggregation. Lines of one length with equal variants at the
-   same j differ by a replaced word; a line that equals another's variant lacks a word
-   of it. The earliest line of the group is the witness of all others, so groups of
-   any size reduce before the shuffle, and no pairs are made.
+   for each j that its shared end leaves open, and the line itself. A key is the
+   exclusive-or of a hash of every word and its place, so running values over the words
+   give all variants of a line in time proportional to its length.
+3. Equal keys join. Lines with equal variants at the same j differ by a replaced word:
+   the earliest of such a group is the witness of the others, by an aggregation. A line
+   that equals another's variant lacks a word of it. No pairs are made within groups.
 4. The witness's words are compared with the line's: the edit distance is 1 if their
    common beginning and end cover all but one word of the longer.
 
@@ -32,9 +31,10 @@ Only the named columns are read; clean_documents() keeps all columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import numbered
 from .common import stored, table
 
 #: Fewest words of lines that are compared with others by edits; 2 or more.
@@ -62,6 +62,12 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return some.select(F.col(id_col).cast("long").alias("doc"), F.split(spaces(F.col(text_col)), "\n", -1).alias("lines"))
 
 
+def end_words(n: Column) -> Column:
+    """How many words at either end every key of a line of ``n`` words holds at least."""
+    size = F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("long"))) - 2)
+    return F.when(n == 2 * size, F.floor(size / 2)).otherwise(size).cast("int")
+
+
 def end_keys(line: Column, n: Column, min_words: int) -> Column:
     """Keys of the beginning and the end of a line of ``n`` words. Lines of 2^b to
     2^(b+1) - 1 words are keyed by 2^(b-1) words at either end, a half to a quarter of
@@ -69,7 +75,7 @@ def end_keys(line: Column, n: Column, min_words: int) -> Column:
     as those below, as it may be one of them with a word more. Words are found by their
     spaces, without splitting the line.
     """
-    b = F.length(F.bin(n)) - 1
+    b = F.length(F.bin(n.cast("long"))) - 1
     size = F.call_function("shiftleft", F.lit(1), b - 1)
 
     def of(bucket: Column, some: Column) -> list[Column]:
@@ -80,23 +86,55 @@ def end_keys(line: Column, n: Column, min_words: int) -> Column:
     return F.when(below, F.array(*of(b, size), *of(b - 1, F.floor(size / 2).cast("int")))).otherwise(F.array(*of(b, size)))
 
 
-def variants(texts: DataFrame) -> DataFrame:
-    """h1, h2, place, at (the deleted word, null for the line itself), size and key of
-    all variants of lines (h1, h2, place, words); h1 and h2 tell the lines apart.
+def running_xor(values: Column, start: Column) -> Column:
+    """``start`` and its exclusive-or with the first, the first two, ... and all values.
+    Long arrays are taken by blocks, so that they are not copied for each value.
+    """
+
+    def run(some: Column, first: Column) -> Column:
+        return F.aggregate(some, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
+
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / 256).cast("int") - 1), lambda b: F.slice(values, b * 256 + 1, 256))
+    starts = run(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a.bitwiseXOR(x))), start)
+    each = F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, s: F.slice(run(b, s), 2, F.size(b))))
+    return F.when(F.size(values) <= 256, run(values, start)).otherwise(F.concat(F.array(start), each))
+
+
+def variants(lines: DataFrame) -> DataFrame:
+    """r, at (from 0) and key of each line without word ``at``, for the places from lo
+    to before hi. ``lines``: r, words, lo, hi. Nothing crosses the network for it.
     """
+    n = F.size("words")
+    here = F.transform("words", lambda w, i: F.xxhash64(i, w))
+    moved = F.transform("words", lambda w, i: F.xxhash64(i - 1, w))
+    all_moved = F.aggregate(moved, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+    # Words before the place as they are, and words after it one place to the left.
+    before, after = F.slice(running_xor(here, F.lit(0).cast("long")), 1, n), F.slice(running_xor(moved, all_moved), 2, n)
+    keys = F.zip_with(before, after, lambda a, b: a.bitwiseXOR(b))
+    return lines.select("r", "lo", "hi", F.posexplode(keys).alias("at", "key")).filter("at >= lo AND at < hi").select("r", "at", "key")
 
-    def xor(shift: int) -> Column:
-        return F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i + shift, w)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
-    known = texts.select("h1", "h2", "place", F.size("words").alias("n"), xor(0).alias("own"), xor(-1).alias("moved"), "words")
-    each = known.select("h1", "h2", "place", "n", "moved", F.posexplode("words").alias("at", "w"))
-    each = each.select("h1", "h2", "place", "n", "moved", "at", F.xxhash64("at", "w").alias("x"), F.xxhash64(F.col("at") - 1, "w").alias("y"))
-    line = Window.partitionBy("h1", "h2").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Words before j at their own places, words after it moved by one.
-    running = each.withColumn("before", F.bit_xor("x").over(line)).withColumn("upto", F.bit_xor("y").over(line))
-    key = F.col("before").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("moved")).bitwiseXOR(F.col("upto"))
-    less = running.select("h1", "h2", "place", "at", (F.col("n") - 1).alias("size"), key.alias("key"))
-    return less.unionByName(known.select("h1", "h2", "place", F.lit(None).cast("int").alias("at"), F.col("n").alias("size"), F.col("own").alias("key")))
+def whole_keys(lines: DataFrame) -> DataFrame:
+    """r and key of each line as it is; equal to that of a variant with its words."""
+    own = F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i, w)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+    return lines.select("r", own.alias("key"))
+
+
+def witnesses(lines: DataFrame) -> DataFrame:
+    """r and w (less than r): for each line the least that replaces a word of it, that
+    lacks one, and that has one more, as far as there are any.
+    """
+    emitted = variants(lines)
+    # Equal variants at the same place: all of such a group are one word apart, so its
+    # least stands for it, combined before the shuffle.
+    groups = emitted.groupBy("key", "at").agg(F.min("r").alias("w"), F.max("r").alias("most")).filter("w < most").select("key", "at", "w")
+    replaced = emitted.join(groups, ["key", "at"]).filter("r > w").select("r", "w")
+    # A variant that is a line: at most one line has its words.
+    longer = emitted.select("key", F.col("r").alias("more")).join(whole_keys(lines).withColumnRenamed("r", "less"), "key")
+    lacks = longer.filter("less < more").select(F.col("more").alias("r"), F.col("less").alias("w"))
+    has = longer.filter("more < less").groupBy(F.col("less").alias("r")).agg(F.min("more").alias("w"))
+    return replaced.unionByName(lacks).unionByName(has).distinct()
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -122,24 +160,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     rows = stored(rows, "lines")
     exact = ["h1", "h2"]
     first = stored(rows.groupBy(*exact).agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "distinct-lines")
-    keyed = first.filter("keys IS NOT NULL").select("h1", F.explode("keys").alias("k"))
+    keyed = first.filter("keys IS NOT NULL").select("h1", F.posexplode("keys").alias("side", "k"))
     shared = keyed.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
-    some = keyed.join(shared, "k", "left_semi").select("h1").distinct()
-    wanted = first.join(some, "h1").select("first.doc", F.struct("first.line", *exact).alias("c")).groupBy("doc").agg(F.collect_list("c").alias("wanted"))
+    # Which of its ends a line shares: where it is only one, the edit is beyond it.
+    some = keyed.join(shared, "k", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
+    wanted = first.join(some, "h1").select("first.doc", F.struct("first.line", *exact, "head", "tail").alias("c")).groupBy("doc").agg(F.collect_list("c").alias("wanted"))
     # Whole documents cross to their candidates, not single lines: fewer and larger rows.
     texts = lines_of(docs, id_col, text_col).join(wanted, "doc")
-    texts = texts.select("doc", F.explode(F.transform("wanted", lambda c: F.struct(c["line"].alias("line"), c["h1"].alias("h1"), c["h2"].alias("h2"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("c"))
-    texts = texts.select("doc", "c.*").filter("text IS NOT NULL").withColumn("t", plain(F.col("text"))).drop("text")
+    texts = texts.select("doc", F.explode(F.transform("wanted", lambda c: F.struct(c.alias("c"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("x"))
+    texts = texts.select("doc", "x.c.*", "x.text").filter("text IS NOT NULL").withColumn("t", plain(F.col("text"))).drop("text")
     # Rows that repeat a document id may share a place: the hashes tell their lines.
     texts = texts.filter((F.xxhash64("t") == F.col("h1")) & (F.xxhash64(F.lit(1), "t") == F.col("h2"))).dropDuplicates(exact)
-    texts = stored(texts.withColumn("words", F.split("t", " ")).drop("t"), "line-texts")
-    emitted = variants(texts.select(*exact, place.alias("place"), "words"))
-    near = near_witness(emitted)
-    a, b = texts.select(*exact, "words"), texts.select("doc", "line", F.col("words").alias("witness"))
-    checked = near.join(a, exact).join(b, (F.col("w.doc") == b["doc"]) & (F.col("w.line") == b["line"]))
+    texts = texts.withColumn("words", F.split("t", " ")).drop("t")
+    n, kept = F.size("words"), end_words(F.size("words"))
+    texts = texts.withColumn("lo", F.when(F.col("tail"), 0).otherwise(kept)).withColumn("hi", F.when(F.col("head"), n).otherwise(n - kept)).drop("head", "tail")
+    lines = stored(numbered(texts, ["doc", "line", *exact], "r"), "line-texts")
+    near = witnesses(lines.select("r", "words", "lo", "hi"))
+    a, b = lines.select("r", *exact, place.alias("own"), "words"), lines.select(F.col("r").alias("w"), place.alias("earlier"), F.col("words").alias("witness"))
+    checked = near.join(a, "r").join(b, "w").filter("earlier < own")
     longer = F.size("words") >= F.size("witness")
     right = F.when(longer, one_edit(F.col("words"), F.col("witness"))).otherwise(one_edit(F.col("witness"), F.col("words")))
-    near = checked.filter(right).groupBy(*exact).agg(F.min("w").alias("w"))
+    near = checked.filter(right).groupBy(*exact).agg(F.min("earlier").alias("w"))
     # Every copy of a line that has an earlier neighbour goes; else all but the first.
     known = first.select(*exact, "first", "copies").join(near, exact, "left").filter("copies > 1 OR w IS NOT NULL")
     gone = rows.select("doc", "line", *exact).join(known, exact).filter((place > F.col("first")) | F.col("w").isNotNull())
@@ -147,27 +188,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return gone.select("doc", "line", origin["doc"].alias("first_doc"), origin["line"].alias("first_line"), (origin != F.col("first")).cast("int").alias("edits")).distinct()
 
 
-def near_witness(emitted: DataFrame) -> DataFrame:
-    """h1, h2 and w: for lines with an equal key and an earlier place, its place. One
-    aggregation finds the earliest place by key, for the line itself and for each j.
-    """
-    exact = ["h1", "h2"]
-    group = ["size", "key"]
-    # By key and j first: what is left has one row for each j that occurs.
-    by_at = emitted.groupBy(*group, "at").agg(F.min("place").alias("least"), F.max("place").alias("most"))
-    alone = F.col("least") == F.col("most")
-    by_key = by_at.groupBy(*group).agg(
-        F.min(F.when(F.col("at").isNull(), F.col("least"))).alias("own"), F.min(F.when(F.col("at").isNotNull(), F.col("least"))).alias("other"), F.max(~alone & F.col("at").isNotNull()).alias("replaced")
-    )
-    useful = by_key.filter("replaced OR (own IS NOT NULL AND other IS NOT NULL)").select(*group, "own", "other")
-    hits = emitted.join(useful, group)
-    # A replaced word: the earliest of the same j. A missing one: the line itself.
-    same = by_at.filter(~alone & F.col("at").isNotNull()).select(*group, "at", F.col("least").alias("w"))
-    replaced = emitted.join(same, [*group, "at"]).filter(F.col("w") < F.col("place")).select(*exact, "w")
-    lacking = hits.select(*exact, "place", F.when(F.col("at").isNull(), F.col("other")).otherwise(F.col("own")).alias("w")).filter(F.col("w") < F.col("place")).select(*exact, "w")
-    return replaced.unionByName(lacking).distinct()
-
-
 def clean_documents(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of ``gone`` (as repeats() gives them). Documents that
     lose all their lines with words go; others keep every column, with the text that
