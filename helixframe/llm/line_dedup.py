@@ -56,10 +56,10 @@ def spaces(text: Column) -> Column:
     return text
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc and lines (an array) of every document with an id."""
-    some = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return some.select(F.col(id_col).cast("long").alias("doc"), F.split(spaces(F.col(text_col)), "\n", -1).alias("lines"))
+def lines_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """doc and lines (an array) of every document with an id and a text."""
+    some = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    return some.select("doc", F.split("text", "\n", -1).alias("lines"))
 
 
 def end_words(n: Column) -> Column:
@@ -125,7 +125,7 @@ def witnesses(lines: DataFrame) -> DataFrame:
     """r and w (less than r): for each line the least that replaces a word of it, that
     lacks one, and that has one more, as far as there are any.
     """
-    emitted = variants(lines)
+    emitted = stored(variants(lines), "line-variants")
     # Equal variants at the same place: all of such a group are one word apart, so its
     # least stands for it, combined before the shuffle.
     groups = emitted.groupBy("key", "at").agg(F.min("r").alias("w"), F.max("r").alias("most")).filter("w < most").select("key", "at", "w")
@@ -154,7 +154,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     earlier line, which has the same words or is an edit away) and edits (0 or 1).
     """
     place = F.struct("doc", "line")
-    each = lines_of(docs, id_col, text_col).select("doc", F.posexplode("lines").alias("line", "text")).select("doc", F.col("line").cast("long").alias("line"), plain(F.col("text")).alias("t")).filter("t != ''")
+    each = lines_of(docs, id_col, spaces(F.col(text_col))).select("doc", F.posexplode("lines").alias("line", "text")).select("doc", F.col("line").cast("long").alias("line"), plain(F.col("text")).alias("t")).filter("t != ''")
     each = each.withColumn("n", F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     rows = each.select("doc", "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), F.when(F.col("n") >= min_words, end_keys(F.col("t"), F.col("n"), min_words)).alias("keys"))
     rows = stored(rows, "lines")
@@ -166,9 +166,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     some = keyed.join(shared, "k", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
     wanted = first.join(some, "h1").select("first.doc", F.struct("first.line", *exact, "head", "tail").alias("c")).groupBy("doc").agg(F.collect_list("c").alias("wanted"))
     # Whole documents cross to their candidates, not single lines: fewer and larger rows.
-    texts = lines_of(docs, id_col, text_col).join(wanted, "doc")
+    texts = lines_of(docs, id_col, F.col(text_col)).join(wanted, "doc")
     texts = texts.select("doc", F.explode(F.transform("wanted", lambda c: F.struct(c.alias("c"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("x"))
-    texts = texts.select("doc", "x.c.*", "x.text").filter("text IS NOT NULL").withColumn("t", plain(F.col("text"))).drop("text")
+    texts = texts.select("doc", "x.c.*", "x.text").filter("text IS NOT NULL").withColumn("text", spaces(F.col("text"))).withColumn("t", plain(F.col("text"))).drop("text")
     # Rows that repeat a document id may share a place: the hashes tell their lines.
     texts = texts.filter((F.xxhash64("t") == F.col("h1")) & (F.xxhash64(F.lit(1), "t") == F.col("h2"))).dropDuplicates(exact)
     texts = texts.withColumn("words", F.split("t", " ")).drop("t")
