@@ -1,15 +1,20 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Units are the lines of a text that name a licence, a copyright or the public domain
-(headers, and the lines of licence files). A unit is a vector of its words, weighted by
-their frequency and by the inverse frequency over the units of all documents; templates
-are weighted alike. The frequencies of the templates' words (a few hundred at most) are
-the only thing that reaches the driver; each unit is then scored in its own row, without
-a join or a shuffle. A document's own licence is the template of its best unit, if its
-cosine is ``threshold`` or more (ties: the smaller name).
-
-A licence file, one with a licence of which ``file_share`` of the lines with words are
-units, stands for its directory.
+Units of a text that names a licence, a copyright or the public domain, or begins a
+grant, are its lines of that kind, its paragraphs of that kind (headers; comment signs
+alone make no line) and the whole text (licence files). A unit is a vector of its words;
+names of licences (SPDX identifiers, titles, names in sentences) are one token each. The
+templates are notices, sentences around a name, headers and whole texts, several for
+each licence. A word weighs its frequency by its inverse frequency over the licences (of
+which any template has it), a name twice that; every word that no template has lengthens the vector by one.
+So a document's score does not depend on the other documents, nothing reaches the
+driver, and each unit is scored in its own row, without a join or a shuffle. A
+document's own licence is that of the template nearest to any unit, if its cosine is
+``threshold`` or more (ties: the smaller name).
+
+A licence file stands for its directory: a document with a licence whose whole text is
+near a template, of which ``file_share`` of the lines with words are units, or whose name
+is that of a licence file.
 Documents without a licence of their own take that of the nearest directory above them
 that has one (of several files there, the smallest path). Directories, not documents,
 are joined with their ancestors, so a directory that holds a third of all documents is
@@ -25,11 +30,13 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
+from .license_templates import FRAMES, NAMES, TEXTS, whole_texts
 
 #: The customary notices of licences.
 TEMPLATES = {
@@ -48,33 +55,71 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: What makes a line a unit, in any case.
-UNIT = r"(?i)licen[cs]e|copyright|spdx|public domain"
+#: What makes a line, a paragraph or a text a unit, in any case.
+UNIT = r"(?i)licen[cs]e|copyright|spdx|public domain|permission\s+is\s+hereby|permission\s+to\s+use|redistribution\s+and\s+use|\bcc[ -]by\b|\bcc0\b|\bapache[ -]2\.0|\b[al]?gpl[ -]?v?[23]|\bmpl[ -]?v?2"
+#: A line without letters or digits parts paragraphs.
+BLANK = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+LICENSE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying)s?(?:[.-][^/]*)?$"
 #: Words: letters and digits, with dots or hyphens between.
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: How much more the name of a licence weighs than a word that is as rare; with it the
+#: threshold parts sentences that grant from those that only mention a licence.
+NAME_WEIGHT = 2.0
 #: Least cosine of a unit, and least share of units among the lines of a licence file.
 THRESHOLD, FILE_SHARE = 0.8, 0.2
 
 
-def words_of(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+def token(name: str) -> str:
+    """The word that stands for the names of a licence."""
+    return f"id:{name.lower()}"
 
 
-def weights(templates: dict[str, str], units: int, seen: dict[str, int]) -> tuple[dict[str, dict], float]:
+def words_of(text: Column) -> Column:
+    clean = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), " ")
+    for name, pattern in NAMES.items():
+        clean = F.regexp_replace(clean, pattern, token(name))
+    return F.split(clean, " ")
+
+
+def template_words(text: str) -> list[str]:
+    """words_of() for a template."""
+    clean = " ".join(re.findall(WORD, text.lower()))
+    for name, pattern in NAMES.items():
+        clean = re.sub(pattern, token(name), clean)
+    return clean.split(" ")
+
+
+def all_templates(notices: dict[str, str]) -> tuple[list[tuple[str, list[str]]], list[tuple[str, list[str]]]]:
+    """(licence, words) of the short templates and of the long ones, in the order of
+    names. Notices other than TEMPLATES stand alone.
+    """
+    short = [(n, template_words(t)) for n, t in notices.items()]
+    long: list[tuple[str, list[str]]] = []
+    if notices is TEMPLATES:
+        short += [(n, [token(n) if w == "hfname" else w for w in template_words(f.format("hfname"))]) for n in NAMES for f in FRAMES]
+        long = [(n, template_words(t)) for n, t in TEXTS + whole_texts()]
+    return sorted(short, key=lambda x: x[0]), sorted(long, key=lambda x: x[0])
+
+
+def weights(short: list[tuple[str, list[str]]], long: list[tuple[str, list[str]]]) -> dict[str, dict]:
     """For each word of a template its inverse frequency and its share in each unit
-    template vector; and the inverse frequency of words that no template has.
+    template vector, of the short ones and of the long ones (empty where none has it).
     """
-    names = sorted(templates)
-    counts = {n: re.findall(WORD, templates[n].lower()) for n in names}
-    other = math.log(1 + units) + 1
-    out: dict[str, dict] = {}
-    for n in names:
-        vector = {w: counts[n].count(w) * (math.log((1 + units) / (1 + seen.get(w, 0))) + 1) for w in set(counts[n])}
-        norm = math.sqrt(sum(v * v for v in vector.values()))
-        for w, v in vector.items():
-            entry = out.setdefault(w, {"idf": math.log((1 + units) / (1 + seen.get(w, 0))) + 1, "share": [0.0] * len(names)})
-            entry["share"][names.index(n)] = v / norm
-    return out, other
+    having: dict[str, set[str]] = {}
+    for name, words in short + long:
+        for w in words:
+            having.setdefault(w, set()).add(name)
+    total = len({name for name, _ in short + long})
+    idf = {w: (math.log((1 + total) / (1 + len(names))) + 1) * (NAME_WEIGHT if w.startswith("id:") else 1.0) for w, names in having.items()}
+    out: dict[str, dict] = {w: {"idf": idf[w], "short": [], "long": []} for w in having}
+    for kind, templates in (("short", short), ("long", long)):
+        for j, (_, words) in enumerate(templates):
+            vector = {w: n * idf[w] for w, n in Counter(words).items()}
+            norm = math.sqrt(sum(v * v for v in vector.values()))
+            for w, v in vector.items():
+                out[w][kind] = out[w][kind] or [0] * len(templates)
+                out[w][kind][j] = round(v / norm, 7)
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str, text_col: str, path: Column, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
@@ -82,36 +127,45 @@ def scan_licenses(docs: DataFrame, id_col: str, text_col: str, path: Column, tem
     unit's, null below the threshold), inherited (the nearest directory's licence, where
     it has none itself) and inherited_from (that directory).
     """
-    templates = templates or TEMPLATES
-    names = sorted(templates)
-    vocabulary = sorted({w for t in templates.values() for w in re.findall(WORD, t.lower())})
+    short, long = all_templates(templates or TEMPLATES)
+    known = weights(short, long)
+    vocabulary = F.split(F.lit(" ".join(sorted(known))), " ")
+    table_ = F.from_json(F.lit(json.dumps(known)), "map<string,struct<idf:double,short:array<double>,long:array<double>>>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    named = F.when(F.rlike(text, F.lit(UNIT)), F.filter(lines, lambda x: F.rlike(x, F.lit(UNIT))))
-    rows = docs.select(F.col(id_col).alias("_hf_id"), path.alias("path"), F.coalesce(named, F.array().cast("array<string>")).alias("units"), F.size(lines).alias("lines"))
-    rows = stored(rows, "license-units")
-    held = rows.select(F.explode("units").alias("u")).select(F.array_intersect(words_of(F.col("u")), F.array(*map(F.lit, vocabulary))).alias("w"))
-    # A word for all units stands for their number, so that one aggregation will do.
-    found = held.select(F.explode(F.array_append("w", F.lit(""))).alias("w")).groupBy("w").count()
-    seen = {r["w"]: r["count"] for r in found.collect()}
-    known, other = weights(templates, seen.pop("", 0), seen)
-    table_ = F.from_json(F.lit(json.dumps(known)), "map<string,struct<idf:double,share:array<double>>>")
+    parts = F.filter(F.split(text, BLANK, -1), lambda x: F.contains(F.trim(x), F.lit("\n")))
+    named = lambda units: F.filter(units, lambda x: F.rlike(x, F.lit(UNIT)))
+    units = F.when(F.rlike(text, F.lit(UNIT)), F.concat(F.array(text), named(lines), named(parts)))
+    rows = docs.select(F.col(id_col).alias("_hf_id"), path.alias("path"), F.coalesce(units, F.array().cast("array<string>")).alias("units"), F.size(named(lines)).alias("named"), F.size(lines).alias("lines"))
     each = F.transform("units", lambda u: F.struct(words_of(u).alias("words")))
 
+    def cosines(terms: Column, kind: str, templates: list, norm: Column) -> Column:
+        held = F.filter(terms, lambda t: F.size(t["t"][kind]) > 0)
+        sums = F.aggregate(held, F.array_repeat(F.lit(0.0), len(templates)), lambda acc, t: F.zip_with(acc, t["t"][kind], lambda x, y: x + t["n"] * t["t"]["idf"] * y))
+        labels = F.array(*[F.lit(n) for n, _ in templates]) if templates else F.array().cast("array<string>")
+        return F.zip_with(sums, labels, lambda x, name: F.struct(F.round(x / norm, 6).alias("score"), name.alias("name")))
+
     def scored(u: Column) -> Column:
-        terms = F.transform(F.array_distinct(u["words"]), lambda w: F.struct(F.size(F.filter(u["words"], lambda x: x == w)).alias("n"), F.try_element_at(table_, w).alias("t")))
-        norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.pow(t["n"] * F.coalesce(t["t"]["idf"], F.lit(other)), F.lit(2.0))))
-        cosines = [F.struct((_cosine(terms, j) / norm).alias("score"), F.lit(-j).alias("order")) for j in range(len(names))]
-        best = F.greatest(*cosines)
-        return F.struct(F.round(best["score"], 6).alias("score"), best["order"].alias("order"))
-
-    judged = rows.withColumn("_hf_scored", F.transform(each, scored))
-    best = F.array_max("_hf_scored")
-    label = F.get(F.array(*map(F.lit, names)), -best["order"])
-    good = F.coalesce(best["score"] >= threshold, F.lit(False))
-    file = good & (F.size("units") >= file_share * F.col("lines"))
+        count = lambda w: F.size(u["words"]) - F.size(F.array_remove(u["words"], w))
+        terms = F.transform(F.array_intersect(u["words"], vocabulary), lambda w: F.struct(count(w).alias("n"), F.try_element_at(table_, w).alias("t")))
+        squares = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.pow(t["n"] * t["t"]["idf"], F.lit(2.0)))
+        other = F.size(u["words"]) - F.aggregate(terms, F.lit(0), lambda acc, t: acc + t["n"])
+        return F.struct(terms.alias("terms"), F.sqrt(F.greatest(squares + other, F.lit(1.0))).alias("norm"))
+
+    def nearest_(v: Column) -> Column:
+        every = F.concat(cosines(v["terms"], "short", short, v["norm"]), cosines(v["terms"], "long", long, v["norm"]))
+        # Of equal scores the smaller name.
+        return F.aggregate(every, F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name")), lambda acc, x: F.when((x["score"] > acc["score"]) | ((x["score"] == acc["score"]) & (x["name"] < acc["name"])), x).otherwise(acc))
+
+    judged = rows.withColumn("_hf_vectors", F.transform(F.transform(each, scored), nearest_))
+    first = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"))
+    judged = judged.withColumn("_hf_best", F.aggregate("_hf_vectors", first, lambda acc, x: F.when((x["score"] > acc["score"]) | ((x["score"] == acc["score"]) & (x["name"] < acc["name"])), x).otherwise(acc)))
+    best = F.col("_hf_best")
+    good = best["score"] >= threshold
+    whole = F.coalesce(F.get("_hf_vectors", F.lit(0))["score"] >= threshold, F.lit(False))
+    file = good & (whole | (F.col("named") >= file_share * F.col("lines")) | F.coalesce(F.rlike("path", F.lit(LICENSE_FILE)), F.lit(False)))
     directory = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    own = stored(judged.select("_hf_id", "path", directory.alias("directory"), F.when(good, label).alias("license"), F.when(good, best["score"]).alias("score"), file.alias("file")), "license-own")
+    own = stored(judged.select("_hf_id", "path", directory.alias("directory"), F.when(good, best["name"]).alias("license"), F.when(good, best["score"]).alias("score"), file.alias("file")), "license-own")
     given = own.filter("file AND path IS NOT NULL").groupBy("directory").agg(F.min(F.struct("path", "license"))["license"].alias("inherited"))
     parts = F.split("directory", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
@@ -123,11 +177,6 @@ def scan_licenses(docs: DataFrame, id_col: str, text_col: str, path: Column, tem
     return out.select(F.col("_hf_id").alias(id_col), "directory", "license", "score", F.when(lacks, F.col("inherited")).alias("inherited"), F.when(lacks, F.col("d")).alias("inherited_from"))
 
 
-def _cosine(terms: Column, j: int) -> Column:
-    """The product of a unit's weights with those of template ``j``."""
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.coalesce(t["n"] * t["t"]["idf"] * F.get(t["t"]["share"], j), F.lit(0.0)))
-
-
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, directory, license, score, inherited and inherited_from of every document;
     its path is made of source, language and id.

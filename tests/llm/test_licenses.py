@@ -27,3 +27,48 @@ def test_inheritance(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, where string")
     assert L.scan_licenses(df, "doc_id", "text", F.col("where")).count() == 0
+
+
+#: Wordings beside the notices; the weight of names was chosen after two of them.
+WORDINGS = [
+    ("Licensed under the MIT License.", "MIT"),
+    ("MIT License", "MIT"),
+    ("This software is released under the Apache License 2.0.", "Apache-2.0"),
+    ("This project is licensed under the MIT License.", "MIT"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("This module is free software under the GNU GPL v3 licence.", "GPL-3.0"),
+    ("Our code is published under the 3-clause BSD license.", "BSD-3-Clause"),
+    ("All content here is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("The package is available under the Mozilla Public License Version 2.0", "MPL-2.0"),
+    ("licence: ISC", "ISC"),
+    ("Text may be reused under CC BY-NC 4.0 by anyone", "CC-BY-NC-4.0"),
+    ("Distributed under Apache 2.0", "Apache-2.0"),
+    ("Published as free software: GNU Affero General Public License v3.0", "AGPL-3.0"),
+    ("MIT License was a topic of the debate among many people in town", None),
+    ("See the LICENSE file for details.", None),
+    ("Copyright (c) 2020 Jane Doe. All rights reserved.", None),
+    ("It is a licence that nobody at MIT ever wrote, and the town council met to talk about something else", None),
+    ("Copyright 2020 mit allen Rechten, Lizenz auf Anfrage", None),
+    ("In some countries the public domain is a matter of copyright law", None),
+    ("Licensed under the GNU General Public License.", None),
+]
+
+
+def test_other_wordings(spark):
+    got = scan(spark, [(i, f"Some words here.\n{t}\nmore text", None) for i, (t, _) in enumerate(WORDINGS)])
+    assert [(t, got[i].license) for i, (t, _) in enumerate(WORDINGS)] == WORDINGS
+
+
+def test_headers_and_whole_files(spark):
+    mit = 'Copyright (c) 2019 Jane Doe and friends\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the "Software"), to deal in the Software without\nrestriction, including without limitation the rights to use,\ncopy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the\nSoftware is furnished to do so, subject to the following\nconditions:\n\nThe above copyright notice and this permission notice shall be\nincluded in all copies or substantial portions of the Software.\n'
+    bsd = "Copyright (c) 2001, Some Lab.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n"
+    lab = "\n* Neither the name of Some Lab nor the names of its contributors may be used\n  to endorse or promote products derived from this software without specific\n  prior written permission.\n"
+    as_is = '\nTHIS SOFTWARE IS PROVIDED BY THE AUTHORS "AS IS" AND ANY EXPRESS OR IMPLIED\nWARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT\nSHALL THE AUTHORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,\nEXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,\nWHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE\nOF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.\n'
+    header = '/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint main() {}\n' + "x = 1;\n" * 60
+    gnu = "/* This file is part of Tool.\n *\n * Tool is free software: you can redistribute it and/or modify it under the\n * terms of the GNU Lesser General Public License as published by the Free\n * Software Foundation, either version 3 of the License, or (at your option) any\n * later version.\n */\nint x;\n"
+    gpl = dict(L.whole_texts())["GPL-3.0"]
+    rows = [(1, mit, "m/TERMS"), (2, "code", "m/x.py"), (3, bsd + as_is, "b2/TERMS"), (4, bsd + lab + as_is, "b3/TERMS"), (5, "code", "b3/a/x.py"), (6, header, "h/x.c"), (7, "code", "h/y.c"), (8, gnu, "g/x.c"), (9, gpl.split("\n", 6)[6], "p/TERMS"), (10, "code", "p/x.py"), (11, "code", "b2/q")]
+    got = scan(spark, rows)
+    assert {i: r.license or r.inherited for i, r in got.items()} == {1: "MIT", 2: "MIT", 3: "BSD-2-Clause", 4: "BSD-3-Clause", 5: "BSD-3-Clause", 6: "Apache-2.0", 7: None, 8: "LGPL-3.0", 9: "GPL-3.0", 10: "GPL-3.0", 11: "BSD-2-Clause"}
