@@ -568,7 +568,7 @@ def jn01_group_lookup(spark, sf_dir):
 _INDEX = "idx AS (SELECT DISTINCT k.kmer, m.group_id FROM members m JOIN kmers k ON k.contig = m.contig AND k.pos - 1 >= m.start AND k.pos - 1 + 9 <= m.start + m.raw_length WHERE m.group_id >= 16 AND m.in_group_id = 0)"
 
 
-def _index(m: DataFrame, every: DataFrame) -> DataFrame:
+def _index(m: DataFrame) -> DataFrame:
     """kmer and group_id of the k-mers in groups' references."""
     refs = m.filter("group_id >= 16 AND in_group_id = 0").select("sample", "contig", "part", "group_id", "seq")
     own = kmers.enumerate_kmers(refs.select("sample", F.struct("contig", "part", "group_id").alias("contig"), "seq"), K)
@@ -583,10 +583,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY shared DESC, gro
 SELECT contig, group_id, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, max(shared) OVER (PARTITION BY contig) AS top FROM r WHERE rank <= 10) WHERE shared * 2 >= top""",
 )
 def jn03_shared_kmers(spark, sf_dir):
-    """JN-03, JN-04, WN-13, KM-12: groups that share most k-mers with each contig."""
-    m = members(spark, sf_dir)
+    """JN-03, JN-04, WN-13, KM-12: groups that share most k-mers with each contig of the
+    first sample only, as in its SQL; jn03_shared_kmers_every has those of all contigs.
+    """
     first = segments.first_sample(contigs(spark, sf_dir))
-    return grouping.shared_kmer_candidates(kmers.enumerate_kmers(first, K), _index(m, first), 5).select("contig", "group_id", "shared", "rank")
+    return grouping.shared_kmer_candidates(kmers.enumerate_kmers(first, K), _index(members(spark, sf_dir)), 5).select("contig", "group_id", "shared", "rank")
+
+
+@query("jn03_shared_kmers_every")
+def jn03_shared_kmers_every(spark, sf_dir):
+    """JN-03, JN-04, WN-13, KM-12: groups that share most k-mers with each contig, of any
+    sample.
+    """
+    found = kmers.enumerate_kmers(contigs(spark, sf_dir), K)
+    return grouping.shared_kmer_candidates(found, _index(members(spark, sf_dir)), 5).select("sample", "contig", "group_id", "shared", "rank")
 
 
 _TERMS = "terms AS (SELECT DISTINCT * FROM (SELECT key_front AS kmer, key_back AS other FROM groups WHERE key_front IS NOT NULL AND key_back IS NOT NULL UNION ALL SELECT key_back, key_front FROM groups WHERE key_front IS NOT NULL AND key_back IS NOT NULL))"
