@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
+from ..functions import codec
 from ..operators import compare, grouping, kmers, segments
 from ..operators.ranking import numbered
 from ..sources import fasta
@@ -343,11 +345,25 @@ r AS (SELECT p_type, lag, CASE WHEN n > lag AND known > 0 THEN same / CAST(known
 SELECT p_type, coalesce(arg_min(x, lag) FILTER (x >= 0.5), max(x)) AS share FROM r GROUP BY p_type""",
 )
 def fn28_repetitiveness(spark, sf_dir):
-    """FN-28: how a sequence repeats itself at short lags."""
+    """FN-28: how a sequence repeats itself at short lags, as a column function over part
+    types, which are too short for any lag; fn28_contig_repetitiveness has the contigs.
+    """
     rows = table(spark, sf_dir, "part").select("p_type").distinct()
     return rows.select("p_type", B.repetitiveness(B.only_bases(F.col("p_type"), "N")).alias("share"))
 
 
+@query("fn28_contig_repetitiveness")
+def fn28_contig_repetitiveness(spark, sf_dir):
+    """FN-28: how each contig repeats itself at lags 4 to 31, in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            shares = [None if x is None else codec.lag_share(codec.to_codes(x)) for x in batch.column("seq").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), batch.column("contig"), pa.array(shares, pa.float64())], names=["sample", "contig", "share"])
+
+    return contigs(spark, sf_dir, "N").mapInArrow(run, "sample string, contig long, share double")
+
+
 @query(
     "fn42_number_codes",
     """SELECT n_chars, CASE WHEN n_chars < 128 THEN 1 WHEN n_chars < 16512 THEN 2 WHEN n_chars < 2113664 THEN 3 ELSE 4 END AS prefixed_bytes, n_chars * 2 AS zigzag, 2 * n_chars - 1 AS zigzag_negative,
