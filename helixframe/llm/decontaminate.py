@@ -18,7 +18,8 @@ split by Spark, as both sides are plain join inputs. Either way the hits are che
 the same function.
 
 Defined results: null or empty texts and empty tables hold nothing; repeated rows of a
-document give the same rows once; repeated item ids are items of the same name; very
+document give the same rows once; documents with a null id count as one of that id on
+either path; repeated item ids are items of the same name; very
 long documents are searched whole. Only the named columns are read.
 """
 
@@ -31,7 +32,6 @@ from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,8 +211,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
     """The same by a shuffle: hashes of both sides are joined, then each pair of a
-    document and an item that hit is compared by the words of both.
+    document and an item that hit is compared by the words of both. A document's key is
+    a hash of its id and text, so rows without an id are found as well.
     """
+    rows = rows.filter("_hf_text IS NOT NULL").withColumn("_hf_key", F.xxhash64("_hf_id", "_hf_text"))
     shapes = [shape(n) for n in range(LEAST_WORDS, WINDOW + 1)]
     every = sorted({m for s in shapes for m in masks_for(*s)})
 
@@ -238,19 +240,19 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
         return emit
 
     kind = "key long, mask int, hash long"
-    left = rows.filter("_hf_text IS NOT NULL AND _hf_id IS NOT NULL").mapInArrow(emitted(False), kind).withColumnRenamed("key", "_hf_id")
+    left = rows.select("_hf_key", "_hf_text").mapInArrow(emitted(False), kind).withColumnRenamed("key", "_hf_key")
     right = known.mapInArrow(emitted(True), kind).withColumnRenamed("key", "item").distinct()
-    hits = stored(left.join(right, ["mask", "hash"]).select("_hf_id", "item").distinct(), "seed-hits")
+    hits = stored(left.join(right, ["mask", "hash"]).select("_hf_key", "item").distinct(), "seed-hits")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, item, a, b in batch[["_hf_id", "item", "_hf_text", "item_text"]].itertuples(index=False):
-                out += [(key, item, *x) for _, _, x in Seeds([(item, words_of(b))]).overlaps([words_of(a)])]
-            yield pd.DataFrame(out, columns=PAIR_TYPES.names)
+            for key, item, a, b in zip(*(batch.column(c) for c in ("_hf_id", "item", "_hf_text", "item_text")), strict=True):
+                out += [(key.as_py(), item.as_py(), *x) for _, _, x in Seeds([(item.as_py(), words_of(b.as_py()))]).overlaps([words_of(a.as_py())])]
+            yield _batch(out)
 
-    both = hits.join(rows, "_hf_id").join(known.select("item", F.col("text").alias("item_text")), "item")
-    return both.mapInPandas(compare, PAIRS)
+    both = hits.join(rows, "_hf_key").join(known.select("item", F.col("text").alias("item_text")), "item")
+    return both.select("_hf_id", "item", "_hf_text", "item_text").mapInArrow(compare, PAIRS)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_tables(spark, docs, rows):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert D.contaminated(docs([]), bench, broadcast_rows=rows).count() == 0
     assert D.contaminated(docs(texts), bench.limit(0), broadcast_rows=rows).count() == 0
+
+
+@pytest.mark.parametrize("rows", [D.BROADCAST_ROWS, 0])
+def test_null_and_large_ids(spark, docs, rows):
+    passage = " ".join(f"word{i}" for i in range(20))
+    texts = [(None, f"before {passage} after"), (None, "nothing of that kind " * 5), (2**62 + 1, passage), (3, "clean text " * 10)]
+    got = D.contaminated(docs(texts), spark.createDataFrame([(7, passage)], "item_id long, text string"), broadcast_rows=rows).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.first_word) for r in got) == [("4611686018427387905", 7, 0), ("None", 7, 1)]
