@@ -3,8 +3,8 @@
 Every stage function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet to the shared folder and reads it as the next stage's docs. All
 but the last stage return the columns of their docs. Nulls, repeated rows and empty
-tables have the results that the operators' modules define; beside that, documents
-with a null id count as one id where a stage rejects ids.
+tables have the results that the operators' modules define. Stages reject rows by id
+(null or not) and text, never all rows of an id.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from helixframe.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from helixframe.llm.common import stored, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id is in ``ids``."""
-    some = ids.select(F.col("doc_id").alias("_hf_id")).distinct()
-    return docs.join(some, docs["doc_id"].eqNullSafe(some["_hf_id"]), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without those whose doc_id and hash of the text are in ``rows`` (doc_id,
+    text_hash).
+    """
+    some = rows.select(F.col("doc_id").alias("_hf_id"), "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(some["_hf_id"]) & (F.xxhash64(docs["text"]) == some["text_hash"])
+    return docs.join(some, same, "left_anti")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -29,7 +32,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
-    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"), text_hash=True)
     return _without(docs, scored.filter("predicted = 1"))
 
 
@@ -45,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), text_hash=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,29 +174,30 @@ def hashed(codes: np.ndarray, mask: tuple[int, ...], places: np.ndarray | None =
     return h.view(np.int64)
 
 
-PAIRS = "_hf_id long, item_id long, first_word long, end_word long, same_words long"
-PAIR_TYPES = pa.schema([("_hf_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("same_words", pa.int64())])
+PAIRS = "_hf_id long, text_hash long, item_id long, first_word long, end_word long, same_words long"
+PAIR_TYPES = pa.schema([("_hf_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("same_words", pa.int64())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, PAIR_TYPES.types, strict=True)], schema=PAIR_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, PAIR_TYPES.types, strict=True)], schema=PAIR_TYPES)
 
 
 def _searched(seeds: Seeds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            keys = part.column(0).to_pylist()
-            yield _batch([(keys[t], item, *x) for t, item, x in seeds.overlaps([words_of(t.as_py()) for t in part.column(1)])])
+            keys = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
+            yield _batch([(*keys[t], item, *x) for t, item, x in seeds.overlaps([words_of(t.as_py()) for t in part.column(1)])])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, text_hash: bool = False) -> DataFrame:
     """One row for each document and item it holds: ``id_col``, item_id, first_word,
-    end_word (the words of the document) and same_words.
+    end_word (the words of the document) and same_words. With ``text_hash`` one row for
+    each text of an id instead, with its xxhash64.
     """
     spark = docs.sparkSession
     known = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    rows = docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.col(text_col).alias("_hf_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.col(text_col).alias("_hf_text"), F.xxhash64(text_col).alias("_hf_hash"))
     # At most six masks and a place for each word: counted before anything is gathered.
     size = known.agg(F.sum(F.size(F.split("text", r"\s+")) * 6)).first()[0] or 0
     if size <= broadcast_rows:
@@ -205,8 +206,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         pairs = rows.mapInArrow(lambda batches: _searched(held.value, batches), PAIRS)
     else:
         pairs = _joined(rows, known)
-    best = pairs.groupBy("_hf_id", "item_id").agg(F.max_by(F.struct("first_word", "end_word", "same_words"), F.struct("same_words", -F.col("first_word"))).alias("x"))
-    return best.select(F.col("_hf_id").alias(id_col), "item_id", "x.*")
+    key = ["_hf_id", "text_hash"] if text_hash else ["_hf_id"]
+    best = pairs.groupBy(*key, "item_id").agg(F.max_by(F.struct("first_word", "end_word", "same_words"), F.struct("same_words", -F.col("first_word"))).alias("x"))
+    return best.select(F.col("_hf_id").alias(id_col), *key[1:], "item_id", "x.*")
 
 
 def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -247,12 +249,12 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, item, a, b in zip(*(batch.column(c) for c in ("_hf_id", "item", "_hf_text", "item_text")), strict=True):
-                out += [(key.as_py(), item.as_py(), *x) for _, _, x in Seeds([(item.as_py(), words_of(b.as_py()))]).overlaps([words_of(a.as_py())])]
+            for key, digest, item, a, b in zip(*(batch.column(c) for c in ("_hf_id", "_hf_hash", "item", "_hf_text", "item_text")), strict=True):
+                out += [(key.as_py(), digest.as_py(), item.as_py(), *x) for _, _, x in Seeds([(item.as_py(), words_of(b.as_py()))]).overlaps([words_of(a.as_py())])]
             yield _batch(out)
 
     both = hits.join(rows, "_hf_key").join(known.select("item", F.col("text").alias("item_text")), "item")
-    return both.select("_hf_id", "item", "_hf_text", "item_text").mapInArrow(compare, PAIRS)
+    return both.select("_hf_id", "_hf_hash", "item", "_hf_text", "item_text").mapInArrow(compare, PAIRS)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

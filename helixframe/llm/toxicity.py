@@ -152,7 +152,7 @@ def fit_words(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, ma
     return model
 
 
-RAW = "_hf_id long, words long, hits long, hit_sum double, passages array<struct<start: long, end: long, score: double>>"
+RAW = "_hf_id long, text_hash long, words long, hits long, hit_sum double, passages array<struct<start: long, end: long, score: double>>"
 
 
 def find_passages(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
@@ -160,7 +160,7 @@ def find_passages(docs: DataFrame, model: Model, id_col: str, text_col: str) ->
     passage, with its place in characters.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), kind]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), kind]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -168,22 +168,22 @@ def find_passages(docs: DataFrame, model: Model, id_col: str, text_col: str) ->
         starts = {x[: BEGINNINGS[0]] for x in beginnings}
         for batch in batches:
             rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, value, digest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = (value.as_py() or "").lower()
                 found = WORD.findall(text)
                 hits = {w for w in set(found) if w in words or (w[: BEGINNINGS[0]] in starts and any(w[:n] in beginnings for n in BEGINNINGS))}
                 if not hits:
-                    rows.append((key, len(found), 0, 0.0, []))
+                    rows.append((key, digest, len(found), 0, 0.0, []))
                     continue
                 known = {w: model.score(w) for w in hits}
                 scores = [known.get(w, LOSS) for w in found]
                 places = [m.span() for m in WORD.finditer(text)]
                 some = [{"start": places[a][0], "end": places[b - 1][1], "score": s} for a, b, s in segments(scores)]
                 own = [known[w] for w in found if w in known]
-                rows.append((key, len(found), len(own), sum(own), some))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=["_hf_id", "words", "hits", "hit_sum", "passages"])
+                rows.append((key, digest, len(found), len(own), sum(own), some))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=["_hf_id", "text_hash", "words", "hits", "hit_sum", "passages"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.col(text_col).alias("_hf_text")).mapInArrow(find, RAW)
+    return docs.select(F.col(id_col).cast("long").alias("_hf_id"), F.col(text_col).alias("_hf_text"), F.xxhash64(text_col).alias("_hf_hash")).mapInArrow(find, RAW)
 
 
 def evidence(model: Model) -> Column:
@@ -242,9 +242,10 @@ def fit_curve(model: Model, bins: list[tuple[float, int, int]]) -> None:
     model.intercept, model.slope = a, max(0.0, b)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 200_000, max_features: int = 20_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 200_000, max_features: int = 20_000, text_hash: bool = False) -> DataFrame:
     """One row for each document: ``id_col``, held_out, score, predicted, evidence and
-    passages (start, end, score of each maximal scoring passage, in characters).
+    passages (start, end, score of each maximal scoring passage, in characters);
+    with ``text_hash`` also the xxhash64 of its text.
     """
     sample = stored(labelled(labels, id_col, label_col, max_labelled), "toxicity-labels")
     model = fit_words(docs, sample, id_col, text_col, max_features)
@@ -256,7 +257,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     fit_curve(model, sorted((r["x"], r["t"], r["c"]) for r in bins))
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + model.slope * F.least(F.col("evidence"), F.lit(MOST_EVIDENCE)))))
     out = raw.withColumn("evidence", evidence(model)).withColumn("score", score)
-    return out.select(F.col("_hf_id").alias(id_col), held_out("_hf_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+    return out.select(F.col("_hf_id").alias(id_col), held_out("_hf_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "passages", *(["text_hash"] if text_hash else []))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,17 @@ def test_stages(spark, tmp_path):
     for i, r in got.items():
         ids = own.encode(leaks[i].text or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == bpe._hex(" ".join(map(str, ids)))
+
+
+def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
+    docs, labels, items, _ = corpus()
+    toxic, clean, leak = docs[0], "plain words of no harm " * 6, f"some text {items[2][1]} more text"
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in docs.items()] + [(i, t, "en", "src0", len(t)) for i in (None, 900) for t in (toxic, clean, leak)] + [(901, None, "en", "src0", 0), (None, None, "en", "src0", 0)]
+    for name, data, schema in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for stage, gone in ((P.drop_toxic, toxic), (P.drop_leaks, leak)):
+        kept = [(r.doc_id, r.text) for r in stage(spark, table, str(tmp_path)).collect()]
+        for i in (None, 900):
+            assert {t for j, t in kept if j == i and t} == {toxic, clean, leak} - {gone}
+        assert (901, None) in kept and (None, None) in kept
