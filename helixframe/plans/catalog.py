@@ -323,12 +323,27 @@ def fn06_base_codes(spark, sf_dir):
 SELECT contig, CAST(d AS BIGINT) AS kmer, CAST(r AS BIGINT) AS reverse, CAST(least(d, r) AS BIGINT) AS canonical, d <= r AS is_dir, CAST(strpos('ACGT', substr(w, 3, 1)) - 1 AS BIGINT) AS third, w AS word, CAST(least(d, r) AS BIGINT) AS lo, CAST(greatest(d, r) AS BIGINT) AS hi FROM c""",
 )
 def fn15_first_kmer(spark, sf_dir):
-    """FN-15 to FN-22, FN-54, FN-59: one k-mer at a place, turned, and its parts."""
-    k = F.col("kmer")
+    """FN-15 to FN-22, FN-54, FN-59 at the first place only, as in its SQL: one k-mer,
+    turned, and its parts; fn15_kmers has every place.
+    """
     rows = contigs(spark, sf_dir).select("contig", B.kmer_at(F.col("seq"), F.lit(0), K).alias("kmer")).filter("kmer IS NOT NULL")
+    return _kmer_parts(rows)
+
+
+@query("fn15_kmers")
+def fn15_kmers(spark, sf_dir):
+    """FN-15 to FN-22, FN-54, FN-59: the k-mers of every place, turned, and their parts."""
+    found = kmers.enumerate_kmers(contigs(spark, sf_dir, "N"), K)
+    kmer = F.when(F.col("is_dir"), F.col("kmer")).otherwise(B.reverse_kmer(F.col("kmer"), K))
+    return _kmer_parts(found.select("sample", "contig", "pos", kmer.alias("kmer")), "sample", "contig", "pos")
+
+
+def _kmer_parts(rows: DataFrame, *by: str) -> DataFrame:
+    """The k-mers of ``rows`` by the column functions."""
+    k = F.col("kmer")
     rows = rows.withColumn("reverse", B.reverse_kmer(k, K))
     pair = B.normal_pair(k, F.col("reverse"))
-    return rows.select("contig", "kmer", "reverse", B.canonical(k, K).alias("canonical"), B.is_direct(k, K).alias("is_dir"), B.symbol_at(k, F.lit(2), K).alias("third"), B.word_of(k, K).alias("word"), pair["lo"].alias("lo"), pair["hi"].alias("hi"))
+    return rows.select(*(by or ["contig"]), "kmer", "reverse", B.canonical(k, K).alias("canonical"), B.is_direct(k, K).alias("is_dir"), B.symbol_at(k, F.lit(2), K).alias("third"), B.word_of(k, K).alias("word"), pair["lo"].alias("lo"), pair["hi"].alias("hi"))
 
 
 @query("fn23_reverse_complement", f"WITH {CONTIGS} SELECT contig, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM contigs")
