@@ -7,6 +7,7 @@ forms agree: K, SEGMENT (distance of splitters) and MIN_MATCH.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -894,13 +895,40 @@ def lz07_runs(spark, sf_dir):
 
 @query("lz10_token_counts")
 def lz10_token_counts(spark, sf_dir):
-    """LZ-04 to LZ-06, LZ-10, AG-12: matches and literals of the coded differences."""
+    """LZ-06, LZ-10, AG-12: matches and literals of the coded differences."""
     m = members(spark, sf_dir)
     coded = collection.encode_deltas(grouping.deltas(m), stored(grouping.references(m), "refs"), MIN_MATCH).filter("group_id >= 16")
     text = F.decode("payload", "ISO-8859-1")
     return coded.select("group_id", "in_group_id", F.regexp_count(text, F.lit("[.]")).alias("matches"), F.regexp_count(text, F.lit("[A-Za-z_]")).alias("literals"), F.regexp_count(text, F.lit("!")).alias("equals"))
 
 
+@query("lz04_costs")
+def lz04_costs(spark, sf_dir):
+    """LZ-04, LZ-05: for each segment that is told by differences, digests of the cost of
+    every place (at a token's first base and at its last), the estimate of the whole and
+    that bounded by a quarter of the segment's length.
+    """
+    m = members(spark, sf_dir)
+    refs = grouping.references(m).select("group_id", F.col("seq").alias("ref"))
+    both = grouping.deltas(m).join(refs, "group_id").repartition("group_id", "pack_id").sortWithinPartitions("group_id", "in_group_id")
+    names = ["group_id", "in_group_id", "first_sha256", "last_sha256", "estimate", "bounded"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        last, differ = None, None
+        for batch in batches:
+            rows = []
+            for group, member, ref, seq in zip(*(batch.column(c).to_pylist() for c in ("group_id", "in_group_id", "ref", "seq")), strict=True):
+                if ref != last:
+                    last, differ = ref, codec.Differ(codec.to_codes(ref), MIN_MATCH)
+                target = codec.to_codes(seq)
+                digests = [hashlib.sha256(",".join(map(str, differ.costs(target, at).tolist())).encode()).hexdigest() for at in (True, False)]
+                rows.append((group, member, *digests, differ.estimate(target), differ.estimate(target, len(target) // 4)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
+
+    return both.select("group_id", "in_group_id", "ref", "seq").mapInArrow(run, "group_id long, in_group_id long, first_sha256 string, last_sha256 string, estimate long, bounded long")
+
+
 @query("lz13_middle_position", with_(CONTIGS, sql_kmers()) + "SELECT contig, min(pos) AS first, max(pos) AS last FROM kmers JOIN (SELECT kmer FROM kmers WHERE sample = 'src1' GROUP BY kmer HAVING count(*) > 2) USING (kmer) GROUP BY contig")
 def lz13_middle_position(spark, sf_dir):
     """LZ-12, LZ-13: the first place in a contig of k-mers that are shared."""
