@@ -29,7 +29,8 @@ def test_empty_table(spark):
     assert L.scan_licenses(df, "doc_id", "text", F.col("where")).count() == 0
 
 
-#: Wordings beside the notices; the weight of names was chosen after two of them.
+#: Wordings beside the notices; not held out: the weight of names was chosen after the
+#: scores of most of them had been seen.
 WORDINGS = [
     ("Licensed under the MIT License.", "MIT"),
     ("MIT License", "MIT"),
