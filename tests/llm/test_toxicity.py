@@ -68,3 +68,58 @@ def test_no_labels_and_no_documents(spark):
     assert [r.predicted for r in T.score_documents(docs, none).collect()] == [0]
     one = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
     assert T.score_documents(docs.limit(0), one).count() == 0
+
+
+def invented(copies, seed=5):
+    """Documents in which a thirtieth of the words are of a topic that toxic ones hold
+    more often, and toxic words only in toxic ones: labels grow with ``copies``.
+    """
+    rnd = random.Random(seed)
+    voc = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    topic = ["".join(rnd.choice("klmnopq") for _ in range(6)) for _ in range(300)]
+    bad = ["xidiot", "xmoron", "xscum", "xtrash"]
+    rows = []
+    for i in range(600 * copies):
+        toxic = rnd.random() < 0.11
+        share = 0.1 if toxic else 0.033
+        words = [rnd.choice(topic) if rnd.random() < share else rnd.choice(voc) for _ in range(rnd.randint(20, 150))]
+        for _ in range(4 if toxic else 0):
+            words[rnd.randrange(len(words))] = rnd.choice(bad)
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+@pytest.mark.parametrize("copies", [1, 3, 10])
+def test_does_not_change_with_the_number_of_labels(spark, copies):
+    rows = invented(copies)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i % 5 != 1], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert model.scale > 0.3 and model.loss >= T.LEAST_LOSS
+    got = T.score_documents(docs, labels).select("doc_id", "predicted").collect()
+    truth = {i: t for i, _, t in rows}
+    clean, toxic = ([r.predicted for r in got if truth[r.doc_id] == t] for t in (0, 1))
+    assert sum(clean) / len(clean) < 0.01 and sum(toxic) / len(toxic) > 0.9
+
+
+def test_one_document_many_times_over(spark):
+    """Copies under new ids are no new evidence, but may not break the law either."""
+    rows = [(i + 600 * m, t, x) for m in range(10) for i, t, x in invented(1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i % 3], "doc_id long, toxic int")
+    got = T.score_documents(docs, labels).select("doc_id", "predicted").collect()
+    truth = {i: t for i, _, t in rows}
+    assert sum(r.predicted != truth[r.doc_id] for r in got) / len(got) < 0.02
+
+
+def test_evidence_is_not_capped():
+    model = T.Model(words={"bad": 5.0}, scale=1.0, factor=0.01, intercept=-3.0, slope=2.0)
+    some = [model.score(model.evidence(100, [(0, 1, s)])) for s in (5.0, 50.0, 500.0, 5000.0, 50_000.0)]
+    assert some == sorted(set(some)) and some[-1] < 1
+
+
+def test_no_law_is_an_error():
+    """Where clean words gain as much as they can lose, an error says so."""
+    model = T.Model(words={"bad": 3.0})
+    with pytest.raises(ValueError):
+        T.fit_law(model, [(10, list(range(10)), [3.0] * 10)])
