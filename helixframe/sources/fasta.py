@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import clean, contig_of, file_sample, sample_of
+from ..operators.ranking import with_previous
 
 LINE = 80
 
@@ -41,12 +42,11 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
 def sample_blocks(rows: DataFrame, order: Column, sample: str = "sample") -> DataFrame:
     """sample, first (its least place), blocks (runs of neighbouring rows) and contiguous.
 
-    The change of sample is told by comparison with the row before, in one ordered
-    pass; rows hold only the sample's name and place.
+    The change of sample is told by comparison with the row before, by ranges of places
+    (which tell all rows apart); rows hold only the sample's name and place.
     """
     seen = rows.select(F.col(sample).alias("sample"), order.alias("at"))
-    before = F.lag("sample").over(Window.orderBy("at"))
-    marked = seen.withColumn("new", (~before.eqNullSafe(F.col("sample"))).cast("long"))
+    marked = with_previous(seen, ["at"], "sample", "before").withColumn("new", (~F.col("before").eqNullSafe(F.col("sample"))).cast("long"))
     return marked.groupBy("sample").agg(F.min("at").alias("first"), F.sum("new").alias("blocks")).withColumn("contiguous", F.col("blocks") == 1)
 
 
