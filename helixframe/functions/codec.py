@@ -56,9 +56,55 @@ def murmur64_columns(x: np.ndarray) -> np.ndarray:
         return x ^ x >> np.uint64(33)
 
 
+def murmur64a_columns(key: np.ndarray, seed: int = 0) -> np.ndarray:
+    """murmur64a() of an array."""
+    with np.errstate(over="ignore"):
+        m, r = np.uint64(0xC6A4A7935BD1E995), np.uint64(47)
+        k = key.astype(np.int64).view(np.uint64) * m
+        k = (k ^ k >> r) * m
+        h = (np.uint64(seed ^ 8 * 0xC6A4A7935BD1E995 & M64) ^ k) * m
+        h = (h ^ h >> r) * m
+        return h ^ h >> r
+
+
+def murmur_pair(a: int, b: int) -> int:
+    """The finaliser over two numbers, one after the other."""
+    return murmur64(murmur64(a) ^ b)
+
+
+def murmur_text(text: str) -> int:
+    """MurmurHash3 (128 bits, seed 0) of a text's UTF-8 bytes, both halves folded by an
+    exclusive-or. Whole blocks are read highest byte first, the rest lowest first.
+    """
+    turn = lambda x, r: (x << r | x >> 64 - r) & M64
+    one, two = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    first = lambda k: turn(k * one & M64, 31) * two & M64
+    second = lambda k: turn(k * two & M64, 33) * one & M64
+    data, a, b = text.encode(), 0, 0
+    whole = len(data) // 16 * 16
+    for i in range(0, whole, 16):
+        a = ((turn(a ^ first(int.from_bytes(data[i : i + 8], "big")), 27) + b) * 5 + 0x52DCE729) & M64
+        b = ((turn(b ^ second(int.from_bytes(data[i + 8 : i + 16], "big")), 31) + a) * 5 + 0x38495AB5) & M64
+    rest = data[whole:]
+    b ^= second(int.from_bytes(rest[8:], "little")) if len(rest) > 8 else 0
+    a ^= first(int.from_bytes(rest[:8], "little")) if rest else 0
+    a, b = a ^ len(data), b ^ len(data)
+    a = (a + b) & M64
+    b = (a + b) & M64
+    a, b = murmur64(a), murmur64(b)
+    a = (a + b) & M64
+    b = (a + b) & M64
+    return a ^ b
+
+
+def kept_by_hash_columns(kmers: np.ndarray, fraction: float, salt: int = 0) -> np.ndarray:
+    """kept_by_hash() of an array."""
+    return (murmur64a_columns(kmers) ^ np.uint64(salt)) < np.uint64(min(M64, int(fraction * M64)))
+
+
 def kept_by_hash(kmer: int, fraction: float, salt: int = 0) -> bool:
     """Is a k-mer in the sample of about ``fraction`` of all?"""
-    return (murmur64a(kmer) ^ salt) < int(fraction * M64)
+    return (murmur64a(kmer) ^ salt) < min(M64, int(fraction * M64))
 
 
 def write_number(x: int) -> bytes:
@@ -94,11 +140,20 @@ def read_prefixed(data: bytes, at: int = 0) -> tuple[int, int]:
     return value + (STEPS[n - 1] if n else 0), at + n + 1
 
 
-def to_codes(seq: str) -> np.ndarray:
+def _table(any_case: bool) -> np.ndarray:
     table = np.full(256, UNKNOWN, np.uint8)
     for i, c in enumerate(IUPAC):
-        table[ord(c)] = table[ord(c.lower())] = i
-    return table[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+        table[ord(c)] = i
+        if any_case:
+            table[ord(c.lower())] = i
+    return table
+
+
+_TABLES = {case: _table(case) for case in (False, True)}
+
+
+def to_codes(seq: str, any_case: bool = True) -> np.ndarray:
+    return _TABLES[any_case][np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
 def to_letters(codes: np.ndarray) -> str:
@@ -106,6 +161,12 @@ def to_letters(codes: np.ndarray) -> str:
     return table[codes].tobytes().decode()
 
 
+def turned(codes: np.ndarray) -> np.ndarray:
+    """The reverse complement of codes; those from 4 on stay what they are."""
+    back = codes[::-1]
+    return np.where(back < 4, 3 - back, back).astype(np.uint8)
+
+
 def unpack_two_bits(packed: bytes, length: int) -> np.ndarray:
     """Codes of two bits each, highest bits first."""
     bits = np.frombuffer(packed, np.uint8)
@@ -318,11 +379,14 @@ class Differ:
 def best_split(left: np.ndarray, right: np.ndarray, k: int) -> tuple[str, int]:
     """Where to part a segment between two groups, from its costs against the reference
     of the left one (at the start) and of the right one (at the end): ("right", 0) or
-    ("left", n) for all of it, or ("split", place).
+    ("left", n) for all of it, ("split", place), or ("none", 0) if it is too short. The
+    costs up to and at a place for the left, and at and from it for the right, are least.
     """
-    total = np.cumsum(left) + (right[::-1].cumsum()[::-1] - right)
-    n = len(total)
-    at = int(total.argmin()) if n else 0
+    n = len(left)
+    if n < 2 * (k + 1):
+        return "none", 0
+    total = np.cumsum(left) + right[::-1].cumsum()[::-1]
+    at = int(total.argmin())
     if at < k + 1:
         return "right", 0
     if at + k + 1 > n:
@@ -345,6 +409,29 @@ def unpacked(pack: bytes, n: int) -> bytes:
     return pack.split(b"\xff")[n]
 
 
+def code_id(value: int, last: int) -> int:
+    """An id in a group told by the largest so far (-1: none yet)."""
+    if last == -1 or value == 0:
+        return value
+    if value == last + 1:
+        return 1
+    return _against(value, last + 1) + 1
+
+
+def read_id(code: int, last: int) -> int:
+    """The inverse of code_id()."""
+    if last == -1 or code == 0:
+        return code
+    if code == 1:
+        return last + 1
+    near, code = last + 1, code - 1
+    return code if code >= 2 * near else near - (code + 1) // 2 if code % 2 else near + code // 2
+
+
+def _against(value: int, near: int) -> int:
+    return value if value >= 2 * near else 2 * (value - near) if value >= near else 2 * (near - value) - 1
+
+
 def _column(f: Callable, kind: str):
     return F.pandas_udf(f, kind)
 
