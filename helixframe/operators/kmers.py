@@ -1,33 +1,103 @@
 """k-mers of contigs, and the sets that splitters are chosen from.
 
 A contig table has sample, contig and seq (letters; others than A, C, G and T break
-k-mers). Sequences are handled as bytes, so that the window at any position costs k,
-not the length before it, and no row carries its contig's sequence into a shuffle.
+k-mers). k-mers are told in Arrow batches: two-bit codes of all windows come from those
+of half as many letters by shifts of whole arrays, so a window costs log k steps and no
+string; a contig is worked on by blocks of BLOCK letters and never crosses a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructType
 
+from ..functions import codec
 from ..functions.bases import check_k
+from .bloom import Bloom
 
 CONTIG = ["sample", "contig"]
-
-
-def enumerate_kmers(contigs: DataFrame, k: int) -> DataFrame:
+#: Letters of a contig that are worked on at a time, and rows of a batch that goes out.
+BLOCK = 1 << 20
+
+
+def windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, k-mer and reverse complement of every window of ``k`` codes below 4."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    bad = np.concatenate([[0], np.cumsum(codes > 3)])
+    places = np.flatnonzero(bad[k:] == bad[:-k])
+    one = (codes & 3).astype(np.int64)
+    # Windows of ``size`` letters at every place, forward and turned; first of none.
+    size, fwd, rev = 0, np.zeros(len(codes) + 1, np.int64), np.zeros(len(codes) + 1, np.int64)
+    for bit in bin(k)[2:]:
+        if size:  # twice as long: two neighbours
+            m = len(codes) - 2 * size + 1
+            fwd, rev = fwd[:m] << 2 * size | fwd[size : size + m], rev[size : size + m] << 2 * size | rev[:m]
+            size *= 2
+        if bit == "1":  # a letter more
+            m = len(codes) - size
+            fwd, rev = fwd[:m] << 2 | one[size : size + m], (3 - one[size : size + m]) << 2 * size | rev[:m]
+            size += 1
+    return places, fwd[places], rev[places]
+
+
+def enumerate_kmers(contigs: DataFrame, k: int, fraction: float | None = None, salt: int = 0, near: Broadcast | None = None) -> DataFrame:
     """sample, contig, pos (from 1), kmer (canonical) and is_dir of every window of
-    ``k`` bases; a single pass without a shuffle.
+    ``k`` bases; a single pass without a shuffle. With ``fraction`` only k-mers that
+    are in the hash sample of that share (the same ones in every contig), with ``near``
+    only those that a Bloom filter lets pass.
     """
     check_k(k)
-    digits = F.translate(F.regexp_replace("seq", "[^ACGT]", "N"), "ACGT", "0123")
-    rows = contigs.select(*CONTIG, digits.alias("d")).filter(F.length("d") >= k)
-    rows = rows.select(*CONTIG, F.length("d").alias("n"), F.encode("d", "US-ASCII").alias("fwd"), F.encode(F.reverse(F.translate("d", "0123", "3210")), "US-ASCII").alias("rev"))
-    rows = rows.select(*CONTIG, "n", "fwd", "rev", F.explode(F.sequence(F.lit(1), F.col("n") - k + 1)).alias("pos"))
-    word = lambda c, at: F.decode(F.substr(c, at, F.lit(k)), "US-ASCII")
-    rows = rows.select(*CONTIG, "pos", word(F.col("fwd"), F.col("pos")).alias("f"), word(F.col("rev"), F.col("n") - F.col("pos") - k + 2).alias("r"))
-    rows = rows.filter(~F.contains("f", F.lit("N"))).select(*CONTIG, "pos", F.conv("f", 4, 10).cast("long").alias("dir"), F.conv("r", 4, 10).cast("long").alias("rc"))
-    return rows.select(*CONTIG, F.col("pos").cast("long").alias("pos"), F.least("dir", "rc").alias("kmer"), (F.col("dir") <= F.col("rc")).alias("is_dir"))
+    rows = contigs.filter(F.length("seq") >= k).select(*CONTIG, "seq")
+    schema = StructType(rows.schema.fields[:2]).add("pos", LongType()).add("kmer", LongType()).add("is_dir", BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                row, pos, kmer, direct = (np.concatenate(x) for x in zip(*kept, strict=True))
+                kept.clear()
+                names = pa.array(row)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(names), batch.column(1).take(names), pa.array(pos), pa.array(kmer), pa.array(direct)], names=schema.names)
+
+            for i, seq in enumerate(batch.column(2)):
+                codes = codec.to_codes(seq.as_py(), any_case=False)
+                for at in range(0, len(codes) - k + 1, BLOCK):
+                    places, fwd, rev = windows(codes[at : at + BLOCK + k - 1], k)
+                    kmer = np.minimum(fwd, rev)
+                    direct = fwd <= rev
+                    if fraction is not None:
+                        some = codec.kept_by_hash_columns(kmer, fraction, salt)
+                        places, kmer, direct = places[some], kmer[some], direct[some]
+                    if near is not None:
+                        some = near.value.check(kmer)
+                        places, kmer, direct = places[some], kmer[some], direct[some]
+                    kept.append((np.full(len(kmer), i, np.int32), places + at + 1, kmer, direct))
+                    if sum(len(x[0]) for x in kept) >= BLOCK:
+                        yield out()
+            if kept:
+                yield out()
+
+    return rows.mapInArrow(run, schema)
+
+
+def sampled(kmer: Column, fraction: float, salt: int = 0) -> Column:
+    """Is a k-mer in the hash sample of about ``fraction`` of all?"""
+
+    def run(x):
+        import pandas as pd
+
+        return pd.Series(codec.kept_by_hash_columns(x.to_numpy(np.int64), fraction, salt))
+
+    return F.pandas_udf(run, "boolean")(kmer)
 
 
 def counts(kmers: DataFrame) -> DataFrame:
@@ -60,9 +130,17 @@ def members(kmers: DataFrame, splitters: DataFrame) -> DataFrame:
     return kmers.join(splitters.select("kmer").distinct(), "kmer", "left_semi")
 
 
-def hard_contigs(contigs: DataFrame, kmers: DataFrame, splitters: DataFrame) -> DataFrame:
+def occurrences(contigs: DataFrame, k: int, splitters: DataFrame) -> DataFrame:
+    """enumerate_kmers(), of the k-mers in ``splitters`` only: a Bloom filter lets the
+    others go where they are made, and the join settles the rest.
+    """
+    held = contigs.sparkSession.sparkContext.broadcast(Bloom.of_column(splitters, "kmer"))
+    return members(enumerate_kmers(contigs, k, near=held), splitters)
+
+
+def hard_contigs(contigs: DataFrame, k: int, splitters: DataFrame) -> DataFrame:
     """Contigs without any splitter."""
-    return contigs.select(*CONTIG).join(members(kmers, splitters).select(*CONTIG).distinct(), CONTIG, "left_anti")
+    return contigs.select(*CONTIG).join(occurrences(contigs, k, splitters).select(*CONTIG).distinct(), CONTIG, "left_anti")
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

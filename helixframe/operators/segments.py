@@ -1,39 +1,93 @@
 """Splitter selection and the segmentation of contigs.
 
 Both choose, from the sorted places in a contig, the next one at a least distance from
-the last choice: a fold over a contig's candidate places, which are few beside its bases
-(one in a splitter's spacing). The list grows only where a choice is made.
+the last choice. Places are dealt by contig and sorted, and one pass over the Arrow
+batches of a partition carries the last choice alone: a contig of any length takes no
+more memory than a batch, and its sequence is not moved.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kmers import CONTIG, duplicates, enumerate_kmers, members, novel, singletons
+from ..plans.tables import stored
+from .kmers import CONTIG, duplicates, enumerate_kmers, members, novel, occurrences, singletons
+from .ranking import numbered
 
 
 def spaced(places: Column, gap: Column) -> Column:
     """Of a sorted array of structs with pos, those at ``gap`` or more from the last
-    chosen, beginning with the first.
+    chosen, beginning with the first: the rule, for places that are in one row anyway.
     """
     start = F.struct(F.lit(None).cast("long").alias("last"), F.slice(places, 1, 0).alias("taken"))
     fold = F.aggregate(places, start, lambda acc, x: F.when(acc["last"].isNull() | (x["pos"] - acc["last"] >= gap), F.struct(x["pos"].alias("last"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc))
     return fold["taken"]
 
 
+def _by_contig(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CONTIG).sortWithinPartitions(*CONTIG, F.asc_nulls_first("pos"))
+
+
+def _ends(batch: pa.RecordBatch, last: tuple | None) -> tuple[list[int], tuple | None]:
+    """Where a contig begins in a batch (0 too if it is another than the ``last``), and the last."""
+    names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    return [i for i, x in enumerate(names) if x != (names[i - 1] if i else last)], names[-1]
+
+
 def choose_splitters(candidates: DataFrame, k: int, segment_size: int, last_break: DataFrame | None = None) -> DataFrame:
     """sample, contig, pos and kmer of the splitters among candidate occurrences: every
     one at ``segment_size`` (and k) or more from the last, and the rightmost whose
     window follows the last other letter (``last_break``: sample, contig, brk) and does
     not meet the last chosen.
     """
-    lists = candidates.groupBy(*CONTIG).agg(F.array_sort(F.collect_list(F.struct("pos", "kmer"))).alias("all"))
-    lists = lists.withColumn("brk", F.lit(0)) if last_break is None else lists.join(last_break, CONTIG, "left").withColumn("brk", F.coalesce("brk", F.lit(0)))
-    lists = lists.withColumn("main", spaced(F.col("all"), F.lit(max(segment_size, k)))).withColumn("end", F.element_at("all", -1))
-    tail = (F.col("end.pos") - F.element_at("main", -1)["pos"] >= k) & (F.col("end.pos") > F.col("brk"))
-    taken = F.when(tail, F.array_append("main", F.col("end"))).otherwise(F.col("main"))
-    return lists.select(*CONTIG, F.explode(taken).alias("x")).select(*CONTIG, "x.pos", "x.kmer")
+    gap = max(segment_size, k)
+    rows = candidates.select(*CONTIG, "pos", "kmer")
+    schema = rows.schema
+    rows = rows.withColumn("brk", F.lit(None).cast("long"))
+    if last_break is not None:  # a row without a place, before those of its contig
+        rows = rows.unionByName(last_break.select(*CONTIG, F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("kmer"), F.col("brk").cast("long").alias("brk")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, taken, end, low = None, None, None, 0  # of the contig at hand: last choice, last candidate, break
+
+        def tail() -> pa.RecordBatch | None:
+            if end is None or taken is None or end[1] - taken < k or end[1] <= low:
+                return None
+            return pa.RecordBatch.from_arrays([end[0].column(i) for i in range(4)], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, latest = _ends(batch, name)
+            pos, breaks = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            chosen: list[int] = []
+            ended: list[pa.RecordBatch] = []
+            fresh = set(starts)
+            for i, p in enumerate(pos):
+                if i in fresh:
+                    if (last := tail()) is not None:
+                        ended.append(last)
+                    taken, end, low = None, None, 0
+                if p is None:
+                    low = breaks[i] or 0
+                    continue
+                if taken is None or p - taken >= gap:
+                    taken = p
+                    chosen.append(i)
+                end = (batch.slice(i, 1), p) if i + 1 == len(pos) or i + 1 in fresh else end
+            name = latest
+            yield from ended
+            if chosen:
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(chosen)) for i in range(4)], names=schema.names)
+        if (last := tail()) is not None:
+            yield last
+
+    return _by_contig(rows).mapInArrow(run, schema)
 
 
 def breaks(contigs: DataFrame) -> DataFrame:
@@ -61,17 +115,37 @@ def new_splitters(contigs: DataFrame, kmers: DataFrame, known: DataFrame, k: int
 
 
 def adaptive_splitters(contigs: DataFrame, k: int, segment_size: int) -> DataFrame:
-    """The first sample's splitters and, for the long contigs of other samples that hold
-    none of them, their own: all such contigs at once, against the first set.
+    """kmer: the first sample's splitters and, contig after contig in the order of their
+    names, the own ones of each long contig that holds none of the set as it is by then.
+
+    What a contig would add does not depend on the others, so it is told for all that
+    lack the first set at once. Which of them do add is then settled in rounds: a contig
+    adds if no earlier undecided one would add a k-mer that it holds; it does not if an
+    earlier one that adds has one. A round looks up each k-mer's least owner, never pairs
+    of contigs; the first undecided contig is settled in every round.
     """
     first = first_sample(contigs)
     base = determine_splitters(first, k, segment_size)
+    found = stored(base["splitters"], "splitters")
     rest = contigs.filter(F.length("seq") >= segment_size)
-    kmers = enumerate_kmers(rest, k)
-    hard = kmers.join(members(kmers, base["splitters"]).select(*CONTIG).distinct(), CONTIG, "left_anti")
+    every = enumerate_kmers(rest, k)
+    with_any = occurrences(rest, k, found).select(*CONTIG).distinct()
+    hard = stored(every.join(with_any, CONTIG, "left_anti"), "hard-kmers")
     known = base["singletons"].unionByName(base["duplicates"])
-    more = new_splitters(rest, hard, known, k, segment_size)
-    return base["splitters"].unionByName(more.select("kmer")).distinct()
+    own = new_splitters(rest.join(with_any, CONTIG, "left_anti"), hard, known, k, segment_size)
+    order = stored(numbered(hard.select(*CONTIG).distinct(), CONTIG, "at"), "hard-order")
+    own = stored(own.join(order, CONTIG).select("at", "kmer").distinct(), "own-splitters")
+    # Of a contig's k-mers only those count that some contig would add.
+    held = stored(hard.join(own.select("kmer").distinct(), "kmer", "left_semi").join(order, CONTIG).select("at", "kmer").distinct(), "held")
+    least = lambda some: some.groupBy("kmer").agg(F.min("at").alias("least"))
+    later = lambda some, owners: some.join(least(owners), "kmer").filter("least < at").select("at").distinct()
+    added = found
+    while not own.isEmpty():
+        adds = stored(own.join(later(held, own), "at", "left_anti"), "adds")
+        added = added.unionByName(adds.select("kmer"))
+        settled = stored(later(held, adds).unionByName(adds.select("at").distinct()).distinct(), "settled")
+        own, held = (stored(x.join(settled, "at", "left_anti"), "undecided") for x in (own, held))
+    return added.distinct()
 
 
 def segment(contigs: DataFrame, splitters: DataFrame, k: int, reset: bool = True, whole_tail: bool = True) -> DataFrame:
@@ -83,27 +157,71 @@ def segment(contigs: DataFrame, splitters: DataFrame, k: int, reset: bool = True
     occurrence does. The tail is always emitted; ``whole_tail`` False drops tails of k
     bases, which add nothing.
     """
-    hits = members(enumerate_kmers(contigs, k), splitters)
-    lists = hits.groupBy(*CONTIG).agg(F.array_sort(F.collect_list(F.struct("pos", "kmer", "is_dir"))).alias("hits"))
-    rows = contigs.filter(F.length("seq") > 0).select(*CONTIG, F.length("seq").cast("long").alias("length")).join(lists, CONTIG, "left")
-    none = F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("kmer"), F.lit(None).cast("boolean").alias("is_dir"))
-    chosen = F.coalesce(spaced(F.col("hits"), F.lit(k)) if reset else F.col("hits"), F.slice(F.array(none), 1, 0))
-    rows = rows.withColumn("cuts", chosen)
-    rows = rows.select(*CONTIG, "length", F.posexplode(F.concat(F.array(none), "cuts")).alias("part", "a"), "cuts")
-    b = F.get("cuts", F.col("part"))
-    start = F.coalesce(F.col("a.pos") - 1, F.lit(0).cast("long"))
-    end = F.coalesce(b["pos"] - 1 + k, F.col("length"))
-    out = rows.select(
-        *CONTIG, F.col("part").cast("long").alias("part"), start.alias("start"), (end - start).alias("raw_length"), F.col("a.kmer").alias("front"), b["kmer"].alias("back"), F.col("a.is_dir").alias("front_is_dir"), b["is_dir"].alias("back_is_dir")
-    )
+    hits = occurrences(contigs, k, splitters).withColumn("length", F.lit(None).cast("long"))
+    own = contigs.filter(F.length("seq") > 0).select(*CONTIG, F.lit(None).cast("long").alias("pos"), F.lit(None).cast("long").alias("kmer"), F.lit(None).cast("boolean").alias("is_dir"), F.length("seq").cast("long").alias("length"))
+    schema = own.select(*CONTIG).schema
+    for name in ("part", "start", "raw_length", "front", "back"):
+        schema = schema.add(name, "long")
+    schema = schema.add("front_is_dir", "boolean").add("back_is_dir", "boolean")
+    gap = k if reset else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the contig at hand: its two names, its length, and part, place, k-mer and direction of the last cut.
+        names, length, last = None, 0, (0, None, None, None)
+        for batch in batches:
+            rows: list[tuple] = []
+            kept: list[pa.RecordBatch] = []  # one row of names for each run of rows
+            runs: list[int] = []
+
+            def emit(row: tuple) -> None:
+                if not kept or kept[-1] is not names:
+                    kept.append(names)
+                    runs.append(0)
+                runs[-1] += 1
+                rows.append(row)
+
+            def tail() -> None:
+                part, pos, kmer, direct = last
+                start = 0 if pos is None else pos - 1
+                emit((part, start, length - start, kmer, None, direct, None))
+
+            for i, (pos, kmer, direct, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pos", "kmer", "is_dir", "length")), strict=True)):
+                if pos is None:
+                    if names is not None:
+                        tail()
+                    names, length, last = batch.slice(i, 1).select([0, 1]), n, (0, None, None, None)
+                elif last[1] is None or pos - last[1] >= gap:
+                    start = 0 if last[1] is None else last[1] - 1
+                    emit((last[0], start, pos - 1 + k - start, last[2], kmer, last[3], direct))
+                    last = (last[0] + 1, pos, kmer, direct)
+            if rows:
+                yield _segments(rows, kept, runs, schema.names)
+        if names is not None:
+            rows, kept, runs = [], [], []
+            part, pos, kmer, direct = last
+            start = 0 if pos is None else pos - 1
+            yield _segments([(part, start, length - start, kmer, None, direct, None)], [names], [1], schema.names)
+
+    out = _by_contig(hits.select(*CONTIG, "pos", "kmer", "is_dir", "length").unionByName(own)).mapInArrow(run, schema)
     return out if whole_tail else out.filter(~(F.col("front").isNotNull() & F.col("back").isNull() & (F.col("raw_length") <= k)))
 
 
+def _segments(rows: list[tuple], kept: list[pa.RecordBatch], runs: list[int], names: list[str]) -> pa.RecordBatch:
+    at = pa.array(np.repeat(np.arange(len(kept)), runs))
+    both = [pa.concat_arrays([x.column(c) for x in kept]).take(at) for c in (0, 1)]
+    types = [pa.int64()] * 5 + [pa.bool_()] * 2
+    return pa.RecordBatch.from_arrays([*both, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+
+
 def with_sequence(segments: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Segments with their letters, as the contig has them."""
+    """Segments with their letters, as the contig has them. Segments cross to their
+    contig as a list of places, and are cut out where it is: its letters move once.
+    """
+    lists = segments.groupBy(*CONTIG).agg(F.collect_list(F.struct(*[c for c in segments.columns if c not in CONTIG])).alias("_hf_segments"))
     seqs = contigs.select(*CONTIG, F.encode("seq", "US-ASCII").alias("_hf_seq"))
-    piece = F.decode(F.substr("_hf_seq", (F.col("start") + 1).cast("int"), F.col("raw_length").cast("int")), "US-ASCII")
-    return segments.join(seqs, CONTIG).withColumn("seq", piece).drop("_hf_seq")
+    piece = lambda s: F.decode(F.substr("_hf_seq", (s["start"] + 1).cast("int"), s["raw_length"].cast("int")), "US-ASCII")
+    each = seqs.join(lists, CONTIG).select(*CONTIG, F.explode(F.transform("_hf_segments", lambda s: F.struct(s.alias("s"), piece(s).alias("seq")))).alias("_hf_x"))
+    return each.select(*CONTIG, "_hf_x.s.*", "_hf_x.seq").select(*segments.columns, "seq")
 
 
 def positions(segments: DataFrame, k: int) -> DataFrame:
