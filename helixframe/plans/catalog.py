@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import codec
-from ..operators import compare, grouping, kmers, segments
-from ..operators.ranking import numbered
+from ..operators import compare, grouping, kmers, matching, segments
+from ..operators.ranking import numbered, with_previous, with_running_max
 from ..sources import fasta
 from . import collection
-from .tables import stored
+from .tables import kept, stored
 
 K, SEGMENT, MIN_MATCH = 9, 60, 12
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,17 +48,33 @@ def contigs(spark: SparkSession, sf_dir: str, also: str = "") -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("sample"), F.col("doc_id").alias("contig"), B.only_bases(F.col("text"), also).alias("seq"))
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written once in an application for each state of the documents."""
+    path = kept(spark, name, f"{sf_dir}/documents.parquet", lambda at: make().write.parquet(at))
+    return spark.read.parquet(path)
+
+
 def splitters(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    """The first sample's splitters, written once for the joins that use them."""
-    return stored(segments.determine_splitters(segments.first_sample(contigs(spark, sf_dir)), k, SEGMENT)["splitters"], "splitters")
+    """The first sample's splitters; a part of the collection, made once."""
+    return _kept(spark, sf_dir, f"splitters-{k}", lambda: segments.determine_splitters(segments.first_sample(contigs(spark, sf_dir)), k, SEGMENT)["splitters"])
 
 
 def cut(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return segments.segment(contigs(spark, sf_dir), splitters(spark, sf_dir, k), k)
+    """The segments of all contigs, made once."""
+    return _kept(spark, sf_dir, f"cut-{k}", lambda: segments.segment(contigs(spark, sf_dir), splitters(spark, sf_dir, k), k))
 
 
 def members(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return stored(collection.layout(contigs(spark, sf_dir), splitters(spark, sf_dir, k), k), "members")
+    """Segments with their groups and letters, made once."""
+    return _kept(spark, sf_dir, f"members-{k}", lambda: collection.layout(contigs(spark, sf_dir), splitters(spark, sf_dir, k), k, cut(spark, sf_dir, k)))
+
+
+def archive(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """The stored collection of the documents: references and packs, made once. Queries
+    that read it see nothing else.
+    """
+    path = kept(spark, "archive", f"{sf_dir}/documents.parquet", lambda at: collection.store(contigs(spark, sf_dir), members(spark, sf_dir), splitters(spark, sf_dir), at, K, SEGMENT, MIN_MATCH))
+    return collection.Collection(spark, path)
 
 
 # --- SQL fragments -----------------------------------------------------------------------
@@ -403,13 +419,12 @@ SELECT p_partkey, CAST(CASE WHEN b IS NULL OR len(a) <> len(b) THEN -1 ELSE len(
 )
 def fn45_name_parts(spark, sf_dir):
     """FN-45: parts of a name that equal those of the name before."""
-    a = F.split("p_name", " ")
-    rows = table(spark, sf_dir, "part").select("p_partkey", a.alias("a"), F.lag(a).over(Window.orderBy("p_partkey")).alias("b"))
+    rows = with_previous(table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("a")), ["p_partkey"], "a", "b")
     same = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
     return rows.select("p_partkey", F.when(F.col("b").isNull() | (F.size("a") != F.size("b")), -1).otherwise(same).cast("long").alias("same_parts"))
 
 
-_DIGIT = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_#', CAST((o_orderkey // {d}) % 64 + 1 AS BIGINT), 1)"
+_DIGIT = f"substr('{B.NAME_DIGITS}', CAST((o_orderkey // {{d}}) % 64 + 1 AS BIGINT), 1)"
 
 
 @query(
@@ -501,15 +516,14 @@ def km06_novel(spark, sf_dir):
 
 @query("km07_splitter_hits", with_(CONTIGS, sql_splitters()) + "SELECT contig, pos, kmer, is_dir FROM kmers WHERE kmer IN (SELECT kmer FROM splitters)")
 def km07_splitter_hits(spark, sf_dir):
-    """KM-07 to KM-10: where splitters occur."""
-    return kmers.members(kmers.enumerate_kmers(contigs(spark, sf_dir), K), splitters(spark, sf_dir)).select("contig", "pos", "kmer", "is_dir")
+    """KM-07 to KM-10: where splitters occur, by a Bloom filter and a join."""
+    return kmers.occurrences(contigs(spark, sf_dir), K, splitters(spark, sf_dir)).select("contig", "pos", "kmer", "is_dir")
 
 
 @query("km11_hard_contigs", with_(CONTIGS, sql_splitters()) + "SELECT sample, contig FROM contigs WHERE contig NOT IN (SELECT contig FROM kmers WHERE kmer IN (SELECT kmer FROM splitters))")
 def km11_hard_contigs(spark, sf_dir):
     """KM-11: contigs without a splitter."""
-    every = contigs(spark, sf_dir)
-    return kmers.hard_contigs(every, kmers.enumerate_kmers(every, K), splitters(spark, sf_dir))
+    return kmers.hard_contigs(contigs(spark, sf_dir), K, splitters(spark, sf_dir))
 
 
 @query("km13_prefix", "SELECT source AS sample, count(*) AS contigs FROM documents WHERE starts_with(source, 'src1') GROUP BY source")
@@ -565,7 +579,9 @@ def sg08_new_splitters(spark, sf_dir):
 
 @query("sg09_adaptive")
 def sg09_adaptive(spark, sf_dir):
-    """SG-09, SG-11: the first sample's splitters and those of hard contigs."""
+    """SG-09, SG-11: the first sample's splitters and those of contigs that are hard for
+    the set as it grows.
+    """
     return segments.adaptive_splitters(contigs(spark, sf_dir), K, SEGMENT)
 
 
@@ -647,15 +663,11 @@ def jn05_middle_splitters(spark, sf_dir):
 
 @query("jn07_segment_sequences", LAYOUT + "SELECT m.sample, m.contig, m.part, sha256(substr(c.seq, CAST(m.start + 1 AS BIGINT), CAST(m.raw_length AS BIGINT))) AS digest FROM members m JOIN contigs c USING (contig)")
 def jn07_segment_sequences(spark, sf_dir):
-    """JN-07, EX-07, LZ-01 to LZ-03, LZ-11: segments fetched from references and coded
-    differences, decoded.
+    """JN-07, EX-07, LZ-01 to LZ-03, LZ-11, FN-31, FN-32: segments of the stored collection
+    from compressed references and packs of differences.
     """
-    m = members(spark, sf_dir)
-    refs = stored(grouping.references(m), "refs")
-    coded = stored(collection.encode_deltas(grouping.deltas(m), refs, MIN_MATCH), "deltas")
-    text = collection.decode_deltas(coded, refs, MIN_MATCH).unionByName(refs.select("group_id", F.lit(0).cast("long").alias("in_group_id"), "seq"))
-    seq = F.when(F.col("is_rev_comp"), B.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    return m.drop("seq").join(text, ["group_id", "in_group_id"]).select("sample", "contig", "part", F.sha2(seq, 256).alias("digest"))
+    store = archive(spark, sf_dir)
+    return store.sequences(store.segments()).select("sample", "contig", "part", F.sha2("seq", 256).alias("digest"))
 
 
 _POSITIONS = f"pos AS (SELECT *, seg_end - own AS seg_start FROM (SELECT *, CAST(sum(own) OVER (PARTITION BY contig ORDER BY part) AS BIGINT) AS seg_end FROM (SELECT *, CASE WHEN part = 0 THEN raw_length ELSE greatest(raw_length - {K}, 0) END AS own FROM segments)))"
@@ -670,15 +682,11 @@ def jn08_range(spark, sf_dir):
 
 @query("snk09_range_fasta", f"WITH {CONTIGS} SELECT '>' || sample || ':' || CAST(contig AS VARCHAR) || ' ' || CAST(contig AS VARCHAR) || ':100-250' AS header, substr(seq, 101, 150) AS seq FROM contigs WHERE length(seq) > 100")
 def snk09_range_fasta(spark, sf_dir):
-    """SNK-09: ranges of contigs as records, put together from overlapping segments."""
-    every = contigs(spark, sf_dir)
-    near = segments.positions(cut(spark, sf_dir), K).filter("seg_end > 100 AND seg_start < 250")
-    own = F.when(F.col("part") == 0, F.col("seq")).otherwise(F.substr("seq", F.lit(K + 1)))
-    rows = segments.with_sequence(near, every).withColumn("own", own)
-    rows = rows.groupBy("sample", "contig").agg(F.min("seg_start").alias("begin"), F.array_sort(F.collect_list(F.struct("part", "own"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x["own"]), "")
+    """SNK-09: ranges of the stored contigs as records, from the packs that overlap them."""
+    store = archive(spark, sf_dir)
+    wanted = store.table("contigs").filter("length > 100").select("sample", "contig", F.lit(100).cast("long").alias("start_at"), F.lit(250).cast("long").alias("end_at"))
     c = F.col("contig").cast("string")
-    return rows.select(F.concat(F.lit(">"), "sample", F.lit(":"), c, F.lit(" "), c, F.lit(":100-250")).alias("header"), F.substr(text, (101 - F.col("begin")).cast("int"), F.lit(150)).alias("seq"))
+    return store.ranges(wanted).select(F.concat(F.lit(">"), "sample", F.lit(":"), c, F.lit(" "), c, F.lit(":100-250")).alias("header"), "seq")
 
 
 TWO = with_(CONTIGS, sql_members(9, "_a"), sql_members(11, "_b"))
@@ -757,7 +765,7 @@ def jn14_compare_blocks(spark, sf_dir):
 
 @query("jn15_segment_lookup", LAYOUT + "SELECT contig, part, group_id, in_group_id, raw_length FROM members WHERE sample = 'src3' AND part = 1")
 def jn15_segment_lookup(spark, sf_dir):
-    """JN-15, EX-14, SRC-16, SRC-17: segments by name and index."""
+    """JN-15: segments by name and index."""
     return members(spark, sf_dir).filter("sample = 'src3' AND part = 1").select("contig", "part", "group_id", "in_group_id", "raw_length")
 
 
@@ -787,14 +795,25 @@ def ag03_single_groups(spark, sf_dir):
 
 @query("ag04_storage")
 def ag04_storage(spark, sf_dir):
-    """AG-04, AG-05, AG-10, SNK-03, SNK-04: raw and coded bytes and parts by class."""
-    m = members(spark, sf_dir)
-    refs = stored(grouping.references(m), "refs")
-    coded = collection.encode_deltas(grouping.deltas(m), refs, MIN_MATCH)
-    raw = grouping.deltas(m).agg(F.sum(F.length("seq")).alias("raw"))
-    packed = coded.agg(F.sum(F.length("payload")).alias("packed"), F.count("*").alias("parts"))
-    rows = refs.agg(F.lit("ref").alias("stream"), F.sum(F.length("seq")).alias("raw"), F.sum(F.length("seq")).alias("packed"), F.count("*").alias("parts"))
-    return rows.unionByName(raw.join(F.broadcast(packed)).select(F.lit("delta").alias("stream"), "raw", "packed", "parts"))
+    """AG-04, AG-05: raw and stored bytes, parts and their ratio, by class of stream and
+    over all. What the codec makes of them has no SQL; ag04_parts has the rest.
+    """
+    rows = archive(spark, sf_dir).storage_statistics()
+    whole = rows.agg(F.lit("all").alias("stream"), F.sum("raw").alias("raw"), F.sum("packed").alias("packed"), F.sum("parts").alias("parts"))
+    return rows.unionByName(whole).withColumn("ratio", F.col("raw") / F.col("packed"))
+
+
+@query(
+    "ag04_parts",
+    LAYOUT
+    + """SELECT 'ref' AS stream, CAST(sum(length(seq)) AS BIGINT) AS raw, count(*) AS parts FROM ranked WHERE in_group_id = 0
+UNION ALL SELECT 'delta', CAST(sum(raw) AS BIGINT), count(*) FROM (
+  SELECT group_id, CASE WHEN group_id >= 16 THEN (in_group_id - 1) // 50 ELSE in_group_id // 50 END AS pack_id, sum(n) AS raw FROM (
+    SELECT group_id, in_group_id, any_value(raw_length) AS n FROM members WHERE group_id < 16 OR in_group_id > 0 GROUP BY ALL) GROUP BY ALL)""",
+)
+def ag04_parts(spark, sf_dir):
+    """AG-04, AG-10, SNK-03, SNK-04: raw bases and parts of the stored streams."""
+    return archive(spark, sf_dir).storage_statistics().select("stream", "raw", "parts")
 
 
 @query("ag06_contig_lengths", f"WITH {CONTIGS} SELECT sample, contig, CAST(length(seq) AS BIGINT) AS length FROM contigs WHERE length(seq) > 0")
@@ -811,11 +830,9 @@ def ag07_counts(spark, sf_dir):
 
 @query("ag08_rebuilt", f"WITH {CONTIGS} SELECT sample, contig, sha256(seq) AS digest FROM contigs WHERE length(seq) > 0")
 def ag08_rebuilt(spark, sf_dir):
-    """AG-08, EX-03, EX-04, EX-16: contigs put together from their segments."""
-    own = F.when(F.col("part") == 0, F.col("seq")).otherwise(F.substr("seq", F.lit(K + 1)))
-    rows = segments.with_sequence(cut(spark, sf_dir), contigs(spark, sf_dir)).withColumn("own", own)
-    rows = rows.groupBy("sample", "contig").agg(F.array_sort(F.collect_list(F.struct("part", "own"))).alias("s"))
-    return rows.select("sample", "contig", F.sha2(F.array_join(F.transform("s", lambda x: x["own"]), ""), 256).alias("digest"))
+    """AG-08, EX-03, EX-04, EX-16: contigs put together from the stored collection."""
+    store = archive(spark, sf_dir)
+    return store.rebuilt(store.segments()).select("sample", "contig", F.sha2("seq", 256).alias("digest"))
 
 
 @query("ag11_references", LAYOUT + "SELECT group_id, seq FROM ranked WHERE in_group_id = 0")
@@ -850,8 +867,8 @@ def wn02_orders(spark, sf_dir):
 )
 def wn10_delta_coded_ids(spark, sf_dir):
     """WN-10, FN-44: ids in a group told by the largest before."""
-    line = Window.partitionBy("group_id").orderBy(*grouping.ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    rows = members(spark, sf_dir).withColumn("last", F.coalesce(F.max("in_group_id").over(line), F.lit(0)))
+    rows = members(spark, sf_dir).select("contig", "group_id", "in_group_id", *grouping.ORDER)
+    rows = with_running_max(rows, "group_id", grouping.ORDER, "in_group_id", "last").withColumn("last", F.coalesce("last", F.lit(0)))
     return rows.select("contig", "part", "group_id", "in_group_id", "last", B.zigzag_against(F.col("in_group_id"), F.col("last")).alias("coded"))
 
 
@@ -871,6 +888,41 @@ def wn12_size_ranks(spark, sf_dir):
     return one.join(ends, "front").join(sizes, "group_id").select("contig", "part", "group_id", near.alias("rank"))
 
 
+@query("wn11_decoded_ids", LAYOUT + "SELECT contig, part, group_id, in_group_id FROM members")
+def wn11_decoded_ids(spark, sf_dir):
+    """WN-11: ids in groups coded by the largest before (by batch of fifty samples, as
+    they are stored) and read back, one batch of samples and one group after another.
+    """
+    batches = archive(spark, sf_dir).table("samples")
+    rows = members(spark, sf_dir).select("contig", "group_id", "in_group_id", *grouping.ORDER).join(batches, "sample")
+    return collection.decode_ids(collection.encode_ids(rows)).select("contig", "part", "group_id", "in_group_id")
+
+
+@query("jn02_one_sided")
+def jn02_one_sided(spark, sf_dir):
+    """JN-02: for each segment with one k-mer the group that codes it best, or none."""
+    m = members(spark, sf_dir)
+    return matching.one_sided_groups(_as_cut(m), _groups(m), grouping.references(m), MIN_MATCH)
+
+
+@query("ag12_best_splits")
+def ag12_best_splits(spark, sf_dir):
+    """AG-12, JN-06, LZ-04: for each segment whose k-mers have a middle one between them,
+    with groups on both sides, where it is parted best.
+    """
+    m = members(spark, sf_dir)
+    return matching.best_splits(_as_cut(m), _groups(m), grouping.references(m), K, MIN_MATCH)
+
+
+def _as_cut(m: DataFrame) -> DataFrame:
+    """Segments with their letters as the contigs have them."""
+    return m.withColumn("seq", grouping.oriented(F.col("seq")))
+
+
+def _groups(m: DataFrame) -> DataFrame:
+    return m.filter(F.col("group_id") >= grouping.FIRST_GROUP).select("group_id", "key_front", "key_back").distinct()
+
+
 @query("wn14_set_difference", with_(CONTIGS, sql_kmers()) + "SELECT kmer FROM kmers WHERE sample = 'src1' EXCEPT ALL SELECT kmer FROM kmers WHERE sample = 'src2'")
 def wn14_set_difference(spark, sf_dir):
     """WN-14: each k-mer of one sample cancels one of the other."""
@@ -895,7 +947,7 @@ def lz07_runs(spark, sf_dir):
 
 @query("lz10_token_counts")
 def lz10_token_counts(spark, sf_dir):
-    """LZ-06, LZ-10, AG-12: matches and literals of the coded differences."""
+    """LZ-06, LZ-10: matches and literals of the coded differences."""
     m = members(spark, sf_dir)
     coded = collection.encode_deltas(grouping.deltas(m), stored(grouping.references(m), "refs"), MIN_MATCH).filter("group_id >= 16")
     text = F.decode("payload", "ISO-8859-1")
@@ -939,7 +991,7 @@ def lz13_middle_position(spark, sf_dir):
 
 @query("ex13_registered", "SELECT sample, contig, n FROM (SELECT source AS sample, lang AS contig, doc_id AS n, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def ex13_registered(spark, sf_dir):
-    """EX-13, EX-14: each sample and contig once, as first seen."""
+    """EX-13: each sample and contig once, as first seen."""
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("sample"), F.col("lang").alias("contig")).agg(F.min("doc_id").alias("n"))
 
 
@@ -961,7 +1013,7 @@ def st11_registry(spark, sf_dir):
     LAYOUT + "SELECT sample, count(*) FILTER (key_front IS NULL AND key_back IS NULL) AS raw, count(*) FILTER (known) AS known, count(*) FILTER (NOT known AND (key_front IS NOT NULL OR key_back IS NOT NULL)) AS new FROM (SELECT m.*, group_id >= 16 AND in_group_id > 0 AS known FROM members m) GROUP BY sample",
 )
 def st13_known_and_new(spark, sf_dir):
-    """ST-01 to ST-04, ST-13: segments of known and of new groups by sample."""
+    """ST-13: segments of known and of new groups by sample."""
     keyless = F.col("key_front").isNull() & F.col("key_back").isNull()
     known = (F.col("group_id") >= 16) & (F.col("in_group_id") > 0)
     return members(spark, sf_dir).groupBy("sample").agg(F.count_if(keyless).alias("raw"), F.count_if(known).alias("known"), F.count_if(~known & ~keyless).alias("new"))
