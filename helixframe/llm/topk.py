@@ -1,43 +1,55 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
-Vectors are dealt into blocks of about ``block_rows`` by a hash of their id, and every
-block is indexed by a cover tree: a node's children are centres more than half its
-reach apart, each covering what lies within that distance, down to single places. The
-queries are indexed in the same way. Every block of queries meets every block of
-vectors in a task of its own (a stated query set against all rows, in blocks): pairs of
-nodes are visited together, and a pair is pruned when the bound
+Vectors are dealt into blocks of about ``block_values`` components by a hash of their
+row, and every block is indexed by a cover tree: a node's children are centres more than
+half its reach apart, up to ``FAN`` or one for each half leaf (so that a node of vectors
+without clusters does not fall into single places at once); a member belongs to the nearest centre, down to
+leaves of a few places, and a node reaches as far as its farthest member. The queries are
+indexed in the same way, in smaller blocks. Every block of queries is sent to every block
+of vectors (a stated query set against all rows, in blocks); blocks of vectors do not
+move again once they are indexed. Pairs of nodes are visited together, and a pair is
+pruned when the bound
 
     <q, r> + |q| radius(r) + radius(q) (|r| + radius(r))
 
 on all its inner products, from the centres q and r, is below the worst k-th score of
-the queries in the group. Each task returns k rows for each query; a window ranks them.
-Nothing but the number of vectors by dimension reaches the driver.
+the queries in the group. So that groups of many queries can be pruned as well, each
+leaf of queries first descends to one small node of the vectors, whose scores give every
+query a k-th score to begin with. Each task returns k rows for each query; a window ranks
+them. Only the number of blocks reaches the driver.
 
 Components are floor(scale * x) as whole numbers, so scores are exact (sums of products
 are computed as doubles only where these hold them exactly, else as Python integers).
 
 Defined results: vectors null, or with a null or non-finite component, and rows with a
-null id take no part; vectors meet those of the same length only; rows that repeat an
-id count once, with the least vector; ties go to the smaller id; a query with fewer
-than k candidates gets all; empty tables give no rows. Only the named columns are read.
+null id take no part; vectors meet those of the same length only, and those of length
+zero score 0; each row is a query and a candidate of its own, also where rows repeat an
+id (only the query's very row is left out); ties go to the smaller id; a query with
+fewer than k candidates gets all; components beyond the largest double that a long holds
+count as that; scores beyond a long are ranked as they are and given as the nearest long;
+empty tables give no rows. Only the
+named columns are read.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, stored, table
 
-#: Vectors of a block, as a mean.
-BLOCK_ROWS = 4096
-#: Places of a leaf, and queries that are searched together.
-LEAF = 16
+#: Components of a block of vectors and of one of queries, as a mean.
+BLOCK_VALUES, QUERY_VALUES = 1 << 19, 1 << 16
+#: Places of a leaf, queries that are searched together, and children of a node at most.
+LEAF, FAN = 16, 16
+#: Places that are scored at a time, more or less.
+STEP = 1024
 
 
 @dataclass
@@ -47,6 +59,7 @@ class CoverTree:
     with children, as the union of theirs.
     """
 
+    rows: np.ndarray
     ids: np.ndarray
     vectors: np.ndarray
     order: np.ndarray
@@ -58,39 +71,38 @@ class CoverTree:
     end: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray) -> CoverTree:
+    def build(cls, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> CoverTree:
         points = vectors.astype(np.float64)
+        away = lambda members, centre: np.sqrt(((points[members] - points[centre]) ** 2).sum(axis=1))
         order = np.arange(len(ids))
         nodes: list[list] = [[0, 0.0, 0, 0, 0, len(ids)]]  # centre, radius, first, last, begin, end
-        at = 0
-        while at < len(nodes):
-            node = nodes[at]
-            at += 1
+        for node in nodes:  # grows while it is walked
             a, b = node[4], node[5]
-            members = order[a:b].copy()  # the range is written below
-            far = np.sqrt(((points[members] - points[node[0]]) ** 2).sum(axis=1))
-            node[1] = float(far.max(initial=0.0))
-            if b - a <= LEAF or node[1] == 0:
+            members = order[a:b].copy()
+            near = away(members, node[0])
+            reach = node[1] = float(near.max(initial=0.0))
+            if b - a <= LEAF or reach == 0:
                 continue
-            reach, rest, node[2], place = node[1] / 2, members, len(nodes), a
-            centre = node[0]  # the node's own centre is the first child's
-            while len(rest):
-                d = np.sqrt(((points[rest] - points[centre]) ** 2).sum(axis=1))
-                near = d <= reach
-                mine = rest[near]
-                order[place : place + len(mine)] = mine
-                nodes.append([centre, 0.0, 0, 0, place, place + len(mine)])
-                place += len(mine)
-                rest = rest[~near]
-                centre = int(rest[0]) if len(rest) else -1
-            node[3] = len(nodes)
+            centres, owner = [node[0]], np.zeros(b - a, np.int64)
+            while len(centres) < min(FAN, max(2, 2 * (b - a) // LEAF)) and (far := near > reach / 2).any():
+                centres.append(int(members[far.argmax()]))  # the first, not the farthest: no outlier
+                d = away(members, centres[-1])
+                closer = d < near
+                owner[closer], near[closer] = len(centres) - 1, d[closer]
+            order[a:b] = members[np.argsort(owner, kind="stable")]
+            ends = a + np.cumsum(np.bincount(owner, minlength=len(centres)))
+            node[2], node[3] = len(nodes), len(nodes) + len(centres)
+            nodes += [[c, 0.0, 0, 0, int(y - n), int(y)] for c, n, y in zip(centres, np.bincount(owner, minlength=len(centres)), ends, strict=True)]
         columns = list(zip(*nodes, strict=True))
         whole = [np.array(columns[i], np.int64) for i in (0, 2, 3, 4, 5)]
-        return cls(ids, vectors, order, whole[0], np.array(columns[1]), *whole[1:])
+        return cls(rows, ids, vectors, order, whole[0], np.array(columns[1]), *whole[1:])
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **self.__dict__)
+        """As bytes; components take no more of them than the largest needs."""
+        out, held = io.BytesIO(), dict(self.__dict__)
+        most = int(np.abs(self.vectors.astype(np.float64)).max(initial=0))
+        held["vectors"] = self.vectors.astype(next((t for t in (np.int16, np.int32) if most < np.iinfo(t).max), np.int64))
+        np.savez(out, **held)
         return out.getvalue()
 
     @classmethod
@@ -99,78 +111,129 @@ class CoverTree:
             return cls(**{k: x[k] for k in x.files})
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin .. end of each, one after another."""
+    n = end - begin
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Search:
-    """The k best of a tree's vectors for each query of another's."""
+    """The k best of a tree's vectors for each query of another's. ``cut`` counts the
+    pairs of nodes that were pruned for groups with children, and for leaves.
+    """
 
     def __init__(self, queries: CoverTree, data: CoverTree, k: int) -> None:
-        self.q, self.r, self.k = queries, data, k
-        big = max(float(np.abs(t.vectors).max(initial=0)) for t in (queries, data))
+        self.q, self.r, self.k, self.cut = queries, data, k, [0, 0]
+        big = max(float(np.abs(t.vectors.astype(np.float64)).max(initial=0)) for t in (queries, data))
         exact = big * big * max(1, queries.vectors.shape[1]) < 2**52
-        kind = np.float64 if exact else object
-        self.qv, self.rv = queries.vectors.astype(kind), data.vectors.astype(kind)
-        self.rc = data.vectors[data.centre].astype(np.float64)
-        self.rn = np.sqrt((self.rc**2).sum(axis=1))
-        self.scores = [np.zeros(0, kind) for _ in queries.ids]
-        self.found = [np.zeros(0, np.int64) for _ in queries.ids]
-        self.worst = np.full(len(queries.ids), -np.inf)
-        if len(queries.ids) and len(data.ids):
-            self.visit(0, np.zeros(1, np.int64))
+        self.kind = np.float64 if exact else object
+        self.qv, self.rv = (t.vectors.astype(np.int64).astype(self.kind) for t in (queries, data))
+        self.qc, self.rc = (t.vectors[t.centre].astype(np.float64) for t in (queries, data))
+        self.qn, self.rn = (np.sqrt((c**2).sum(axis=1)) for c in (self.qc, self.rc))
+        n = len(queries.ids)
+        self.scores, self.found = [np.zeros(0, self.kind)] * n, [np.zeros(0, np.int64)] * n  # found: places
+        self.worst = np.full(n, -np.inf)
+        if n and len(data.ids):
+            for leaf in np.flatnonzero(queries.last == 0):
+                self.begin(leaf)
+            self.visit()
 
     def bounds(self, node: int, others: np.ndarray) -> np.ndarray:
-        centre = self.q.vectors[self.q.centre[node]].astype(np.float64)
-        own, radius = np.sqrt((centre**2).sum()), self.r.radius[others]
-        bound = self.rc[others] @ centre + own * radius + self.q.radius[node] * (self.rn[others] + radius)
-        return bound + 1e-9 * np.abs(bound) + 1e-6  # never below, however doubles round
-
-    def visit(self, node: int, others: np.ndarray) -> None:
-        """Visits a group of queries together with nodes of the data."""
-        q, r = self.q, self.r
-        mine = q.order[q.begin[node] : q.end[node]]
-        if q.last[node]:
-            inner = others[r.last[others] > 0]
-            grown = [np.arange(r.first[i], r.last[i]) for i in inner]
-            others = np.concatenate([others[r.last[others] == 0], *grown])
+        radius = self.r.radius[others]
+        bound = self.rc[others] @ self.qc[node] + self.qn[node] * radius + self.q.radius[node] * (self.rn[others] + radius)
+        # Never below, however doubles round.
+        return bound + 1e-9 * (self.qn[node] + self.q.radius[node]) * (self.rn[others] + radius) + 1e-6
+
+    def queries(self, node: int) -> np.ndarray:
+        return self.q.order[self.q.begin[node] : self.q.end[node]]
+
+    def below(self, others: np.ndarray) -> np.ndarray:
+        """The children of nodes."""
+        return ranges(self.r.first[others], self.r.last[others])
+
+    def places(self, leaves: np.ndarray) -> np.ndarray:
+        """The places of leaves."""
+        return self.r.order[ranges(self.r.begin[leaves], self.r.end[leaves])]
+
+    def known(self, score) -> float:
+        """A k-th score as a threshold, rounded down."""
+        return float(score) if self.kind is np.float64 else float(np.nextafter(float(score), -np.inf))
+
+    def begin(self, leaf: int) -> None:
+        """A first k-th score for the queries of a leaf."""
+        r, at = self.r, 0
+        while r.last[at]:
+            inner = np.arange(r.first[at], r.last[at])
+            best = int(inner[(self.rc[inner] @ self.qc[leaf]).argmax()])
+            if r.end[best] - r.begin[best] <= self.k:
+                break
+            at = best
+        places = r.order[r.begin[at] : r.end[at]]
+        mine = self.queries(leaf)
+        for i, row in zip(mine, self.qv[mine] @ self.rv[places].T, strict=True):
+            row = np.sort(row[r.rows[places] != self.q.rows[i]])
+            if len(row) >= self.k:
+                self.worst[i] = self.known(row[-self.k])
+
+    def visit(self) -> None:
+        """Visits groups of queries together with nodes of the data, from both roots."""
+        q, r, stack = self.q, self.r, [(0, np.zeros(1, np.int64))]
+        while stack:
+            node, others = stack.pop()
+            mine = self.queries(node)
+            if q.last[node]:
+                inner = r.last[others] > 0
+                others = np.concatenate([others[~inner], self.below(others[inner])])
+                keep = self.bounds(node, others) >= self.worst[mine].min()
+                self.cut[0] += int((~keep).sum())
+                stack += [(child, others[keep]) for child in range(q.last[node] - 1, q.first[node] - 1, -1)]
+                continue
             bound = self.bounds(node, others)
-            others = others[bound >= self.worst[mine].min()]
-            for child in range(q.first[node], q.last[node]):
-                self.visit(child, others)
-            return
-        bound = self.bounds(node, others)
-        while len(others):
-            keep = bound >= self.worst[mine].min()
-            others, bound = others[keep], bound[keep]
-            best = np.argsort(-bound, kind="stable")[:64]
-            now = others[best]
-            others, bound = np.delete(others, best), np.delete(bound, best)
-            leaves, inner = now[r.last[now] == 0], now[r.last[now] > 0]
-            if len(leaves):
-                self.score(mine, np.concatenate([r.order[r.begin[i] : r.end[i]] for i in leaves]))
-            if len(inner):
-                more = np.concatenate([np.arange(r.first[i], r.last[i]) for i in inner])
-                others, bound = np.concatenate([others, more]), np.concatenate([bound, self.bounds(node, more)])
+            while len(others):
+                keep = bound >= self.worst[mine].min()
+                self.cut[1] += int((~keep).sum())
+                others, bound = others[keep], bound[keep]
+                order = np.argsort(-bound, kind="stable")
+                size = np.where(r.last[others[order]] > 0, 0, r.end[others[order]] - r.begin[others[order]])
+                some = int(np.searchsorted(np.cumsum(size), STEP)) + 1
+                now, others, bound = others[order[:some]], others[order[some:]], bound[order[some:]]
+                leaves, inner = now[r.last[now] == 0], now[r.last[now] > 0]
+                if len(leaves):
+                    self.score(mine, self.places(leaves))
+                if len(inner):
+                    more = self.below(inner)
+                    others, bound = np.concatenate([others, more]), np.concatenate([bound, self.bounds(node, more)])
 
     def score(self, mine: np.ndarray, places: np.ndarray) -> None:
         scores = self.qv[mine] @ self.rv[places].T
-        ids = self.r.ids[places]
-        for i, row in zip(mine, scores, strict=True):
-            good = (row >= self.worst[i]) & (ids != self.q.ids[i])
-            if not good.any():
+        good = (scores >= self.worst[mine][:, None]) & (self.r.rows[places][None, :] != self.q.rows[mine][:, None])
+        for i, row, some in zip(mine, scores, good, strict=True):
+            if not some.any():
                 continue
-            s, v = np.concatenate([self.scores[i], row[good]]), np.concatenate([self.found[i], ids[good]])
-            first = np.lexsort((v, -s))[: self.k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], v[j]))[: self.k])
+            s, v = np.concatenate([self.scores[i], row[some]]), np.concatenate([self.found[i], places[some]])
+            ids = self.r.ids[v]
+            first = np.lexsort((ids, -s))[: self.k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda j: (-s[j], ids[j]))[: self.k])
             self.scores[i], self.found[i] = s[first], v[first]
             if len(first) == self.k:
-                self.worst[i] = float(self.scores[i][-1])
+                self.worst[i] = max(self.worst[i], self.known(self.scores[i][-1]))
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self) -> pa.RecordBatch:
         n = [len(x) for x in self.found]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(self.q.ids, n),
-                "vec_id": np.concatenate(self.found or [np.zeros(0, np.int64)]),
-                "score": np.array([int(x) for s in self.scores for x in s], np.int64),
-            }
-        )
+        scores = [int(x) for s in self.scores for x in s]
+        columns = [
+            pa.array(np.repeat(self.q.rows, n)),
+            pa.array(np.repeat(self.q.ids, n)),
+            pa.array(self.r.ids[np.concatenate(self.found or [np.zeros(0, np.int64)])]),
+            pa.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], pa.int64()),
+            # Of scores beyond a long, digits that sort as they do.
+            pa.array([ordered(x) if abs(x) >= (1 << 63) - 1 else None for x in scores], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["query_row", "query_id", "vec_id", "score", "exact"])
+
+
+def ordered(x: int) -> str:
+    """A whole number of less than 320 bits as text that sorts as numbers do."""
+    return f"{x + (1 << 320):097d}"
 
 
 def usable(vector: Column) -> Column:
@@ -179,40 +242,55 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _index(block: pa.Table) -> pa.Table:
+    dim, n = block.column("dim")[0].as_py(), block.num_rows
+    flat = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    # In an order that does not depend on how the rows came.
+    order = np.argsort(block.column("row").to_numpy(), kind="stable")
+    tree = CoverTree.build(block.column("row").to_numpy()[order], block.column("id").to_numpy()[order], flat.astype(np.int64).reshape(n, dim)[order])
+    return pa.table({"dim": pa.array([dim], pa.int32()), "block": block.column("block")[:1].cast(pa.int32()), "times": block.column("times")[:1].cast(pa.int32()), "tree": pa.array([tree.dump()], pa.binary())})
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block_values: int = BLOCK_VALUES, query_values: int = QUERY_VALUES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` rows with the highest
     inner products for every row of ``vectors`` where ``is_query`` holds.
     """
-    whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
+    most = F.lit(float((1 << 63) - 1024))  # the largest double that a long holds
+    whole = lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, most), -most))
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).withColumn("dim", F.size("v"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, whole).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    # Written once, so that a row keeps its number whoever reads it.
+    rows = stored(rows.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "topk-rows")
     # D lengths take at least D*D/2 components, so their table is small beside the input.
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).filter("m > 0")
-    sizes = sizes.select("dim", F.ceil(F.col("n") / block_rows).cast("int").alias("rs"), F.ceil(F.col("m") / block_rows).cast("int").alias("qs"))
+    counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).filter("m > 0")
+    in_blocks = lambda n, values: F.ceil(F.col(n) * F.greatest("dim", F.lit(1)) / values).cast("int")
+    sizes = counts.select("dim", in_blocks("n", block_values).alias("rs"), in_blocks("m", query_values).alias("qs"))
+    blocks, asked_blocks = sizes.agg(F.coalesce(F.sum("rs"), F.lit(1)), F.coalesce(F.sum("qs"), F.lit(1))).first()
     rows = rows.join(F.broadcast(sizes), "dim")
 
-    def index(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.assign(v=block["v"].map(tuple)).sort_values(["id", "v"]).drop_duplicates("id")
-        dim = int(block["dim"].iloc[0])
-        tree = CoverTree.build(block["id"].to_numpy(np.int64), np.array(block["v"].tolist(), np.int64).reshape(len(block), dim))
-        return pd.DataFrame({"dim": [dim], "block": [int(block["block"].iloc[0])], "times": [int(block["times"].iloc[0])], "tree": [tree.dump()]})
-
-    def indexed(some: DataFrame, blocks: str, times: str) -> DataFrame:
-        some = some.select("dim", F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int").alias("block"), F.col(times).alias("times"), "id", "v")
-        return some.groupBy("dim", "block").applyInPandas(index, "dim int, block int, times int, tree binary")
-
-    data = indexed(rows, "rs", "qs").select("dim", F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("q"), "tree")
-    asked = indexed(rows.filter("asks"), "qs", "rs").select("dim", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("r"), "tree")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:  # a block that no row's hash fell into
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return Search(CoverTree.load(a["tree"].iloc[0]), CoverTree.load(b["tree"].iloc[0]), k).rows()
-
-    key = ["dim", "r", "q"]
-    met = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def indexed(some: DataFrame, in_: str, times: str, tasks: int) -> DataFrame:
+        some = some.select("dim", F.pmod(F.xxhash64("row"), F.col(in_)).cast("int").alias("block"), F.col(times).alias("times"), "row", "id", "v")
+        # Little data and much work: as many tasks as blocks, however small these are.
+        return some.repartition(min(tasks, 4096), "dim", "block").groupBy("dim", "block").applyInArrow(_index, "dim int, block int, times int, tree binary")
+
+    data = indexed(rows, "rs", "qs", blocks).select("dim", F.col("block").alias("r"), F.lit(-1).alias("q"), "tree")
+    asked = indexed(rows.filter("asks"), "qs", "rs", asked_blocks)
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("r"), F.col("block").alias("q"), "tree")
+    # In a task, a block of vectors comes before the queries that it is to meet.
+    met = data.unionByName(asked).repartition(min(blocks, 4096), "dim", "r").sortWithinPartitions("dim", "r", "q")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, tree = None, None
+        for batch in batches:
+            for dim, r, q, dump in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if q.as_py() < 0:
+                    here, tree = (dim.as_py(), r.as_py()), CoverTree.load(dump.as_py())
+                elif here == (dim.as_py(), r.as_py()):  # else no row's hash fell into that block
+                    yield Search(CoverTree.load(dump.as_py()), tree, k).rows()
+
+    found = met.mapInArrow(meet, "query_row long, query_id long, vec_id long, score long, exact string")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("exact"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
