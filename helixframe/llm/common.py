@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread_join as spread_join
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,10 +36,12 @@ def ascii_lower(text: Column) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session, or, only where it is unset (tests on one machine), a temporary one.
+    session, or, where it is unset and all run in one process (tests), a temporary one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"{tempfile.gettempdir()}/helixframe-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -48,11 +54,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Removes what stored() wrote for ``df``, once nothing reads it any more."""
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(spark, file.rpartition("/")[0])
+
+
+#: What stored() has written, in order.
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at the end what stored() writes within; results must be written by then."""
+    before = len(_written)
+    yield
+    for path in _written[before:]:
+        _remove(spark, path)
+    del _written[before:]

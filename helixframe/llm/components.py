@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, spread_join, stored
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -15,8 +15,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round lets every node hang its larger neighbours, then its smaller ones,
     onto the least neighbour it knows. Both steps are a minimum by node (combined
-    before the shuffle) and an equi-join back, so a node with very many links is
-    never gathered into one row. The rounds grow with the logarithm of the longest
+    before the shuffle) and an equi-join back that spreads the links of a hub, so a node
+    with very many links is never gathered into one row or task. The rounds grow with the logarithm of the longest
     path; the link table is written after each, which cuts the lineage.
     """
     spark = links.sparkSession
@@ -32,11 +32,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     before, same = None, state(now)
     while same[0] and same != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = tidy(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = stored(tidy(spread_join(both.filter("v > u"), least, ["u"], "n", same[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], "n", same[0])
         after = stored(tidy(small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))), "links")
         dropped(spark, now)
+        dropped(spark, large)
         now, before, same = after, same, state(after)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_FOLD, stored, table
+from .common import ASCII_FOLD, dropped, spread_join, stored, table
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -200,12 +200,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node) and text_hash (XXH64 of the whole text).
     """
     by_doc = stored(fingerprints(docs, id_col, text_col), "simhash-docs")
-    prints = stored(by_doc.groupBy("fp").agg(F.min("_hf_id").alias("least")), "simhash-prints")
+    prints = stored(by_doc.groupBy("fp").agg(F.min("_hf_id").alias("least"), F.count("*").alias("copies")), "simhash-prints")
     linked = stored(components(link_forest(prints, radius, blocks, shard_rows), "a", "b"), "simhash-components")
-    named = linked.join(prints, linked["node"] == prints["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    roots = linked.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    every = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    out = by_doc.join(every, "fp")
+    named = linked.join(prints, linked["node"] == prints["fp"]).groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    roots = spread_join(linked, named, ["root"], "nodes", linked.count()).select(F.col("node").alias("fp"), "root", "component_id")
+    every = prints.join(roots, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    every = stored(every, "simhash-roots")
+    for df in (linked, prints):
+        dropped(docs.sparkSession, df)
+    out = spread_join(by_doc, every, ["fp"], "copies", every.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
     return out.select(F.col("_hf_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_hash")
 
 
@@ -215,13 +218,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = stored(near_duplicates(docs, id_col, text_col, radius, blocks, shard_rows).withColumnRenamed(id_col, "_hf_id"), "simhash-found")
     row = F.struct(F.col("_hf_id").isNull(), "_hf_id", "text_hash")
-    winners = found.groupBy("root").agg(F.min(row).alias("winner"))
-    losers = found.join(winners, "root").filter(row != F.col("winner")).select("_hf_id", "text_hash").distinct()
+    winners = found.groupBy("root").agg(F.min(row).alias("winner"), F.count("*").alias("size"))
+    losers = spread_join(found, winners, ["root"], "size", found.count()).filter(row != F.col("winner")).select("_hf_id", "text_hash").distinct()
     same = docs[id_col].cast("long").eqNullSafe(losers["_hf_id"]) & (F.xxhash64(docs[text_col]) == losers["text_hash"])
     kept = docs.join(losers, same, "left_anti")
     if found.groupBy("_hf_id", "text_hash").count().filter("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_hf_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hf_hash"]).drop("_hf_hash")
+    # Whole rows in one column: no name of a caller's column can clash.
+    one = kept.select(F.struct("*").alias("_hf_row"), F.col(id_col).alias("_hf_id"), F.xxhash64(text_col).alias("_hf_hash")).dropDuplicates(["_hf_id", "_hf_hash"])
+    return one.select("_hf_row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
