@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bases import reverse_kmer
 from ..plans.tables import stored
 from .kmers import CONTIG, duplicates, enumerate_kmers, members, novel, occurrences, singletons
 from .ranking import numbered
@@ -90,6 +91,31 @@ def choose_splitters(candidates: DataFrame, k: int, segment_size: int, last_brea
     return _by_contig(rows).mapInArrow(run, schema)
 
 
+def fallback_rows(contigs: DataFrame, chosen: DataFrame, k: int, segment_size: int, fraction: float, salt: int = 0) -> DataFrame:
+    """sample, contig, prev_splitter, splitter, pos, kmer and is_dir of the k-mers in the
+    hash sample, with the splitter that ends their stretch of the contig and the one
+    before it (null for the first). ``chosen`` are the contigs' splitters (sample, contig,
+    pos, kmer). Windows that meet the splitter before, and palindromes, do not count;
+    after a last splitter that was chosen for the contig's end, what follows it does.
+    """
+    some = enumerate_kmers(contigs, k, fraction, salt).filter(F.col("kmer") != reverse_kmer(F.col("kmer"), k))
+    none = F.lit(None)
+    splits = chosen.select(*CONTIG, "pos", F.struct("pos", "kmer").alias("at"), none.cast("long").alias("kmer"), none.cast("boolean").alias("is_dir"))
+    rows = splits.unionByName(some.withColumn("at", none.cast(splits.schema["at"].dataType)))
+    # Of the same place, a k-mer comes before the splitter that it is.
+    line = Window.partitionBy(*CONTIG).orderBy("pos", F.col("at").isNotNull())
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("before", F.last("at", ignorenulls=True).over(before))
+    # Each splitter knows the one before it, so that the end's can be told.
+    rows = rows.withColumn("own", F.when(F.col("at").isNotNull(), F.struct("at", "before")))
+    rows = rows.withColumn("next", F.first("own", ignorenulls=True).over(after)).withColumn("last", F.last("own", ignorenulls=True).over(before))
+    rows = rows.filter("at IS NULL")
+    ended = F.col("next").isNull() & (F.col("last.at.pos") - F.col("last.before.pos") < max(segment_size, k))
+    inside = F.col("next").isNotNull() & (F.col("before").isNull() | (F.col("pos") >= F.col("before.pos") + k))
+    told = F.when(inside, F.struct(F.col("before.kmer").alias("prev"), F.col("next.at.kmer").alias("here"))).when(ended, F.struct(F.col("last.before.kmer").alias("prev"), F.col("last.at.kmer").alias("here")))
+    return rows.withColumn("x", told).filter("x IS NOT NULL").select(*CONTIG, F.col("x.prev").alias("prev_splitter"), F.col("x.here").alias("splitter"), "pos", "kmer", "is_dir")
+
+
 def breaks(contigs: DataFrame) -> DataFrame:
     """sample, contig and brk, the place (from 1) of the last letter that is no base."""
     return contigs.select(*CONTIG, (F.length("seq") - F.length(F.regexp_extract("seq", "([ACGT]*)$", 1))).alias("brk"))

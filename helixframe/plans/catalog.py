@@ -577,6 +577,25 @@ def sg08_new_splitters(spark, sf_dir):
     return segments.new_splitters(rest, own, known, K, SEGMENT).groupBy("contig").agg(F.count("*").alias("splitters"), F.sum("pos").alias("places"))
 
 
+#: Share of k-mers that are in the hash sample of the queries, and its salt.
+FRACTION, SALT = 0.25, 77
+
+
+@query("sg06_fallback_rows")
+def sg06_fallback_rows(spark, sf_dir):
+    """SG-06, FN-40: sampled k-mers of every contig between its own splitters."""
+    every = contigs(spark, sf_dir, "N")
+    found = kmers.enumerate_kmers(every, K)
+    chosen = stored(segments.choose_splitters(kmers.members(found, kmers.singletons(found)), K, SEGMENT), "chosen")
+    return segments.fallback_rows(every, chosen, K, SEGMENT, FRACTION, SALT)
+
+
+@query("jn04_sampled_index")
+def jn04_sampled_index(spark, sf_dir):
+    """JN-04, FN-40: sampled k-mers with the turned pair of splitters around them."""
+    return grouping.sampled_index(_as_cut(members(spark, sf_dir)), K, FRACTION, SALT)
+
+
 @query("sg09_adaptive")
 def sg09_adaptive(spark, sf_dir):
     """SG-09, SG-11: the first sample's splitters and those of contigs that are hard for

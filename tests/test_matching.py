@@ -254,3 +254,44 @@ def test_bloom_filter(spark):
     small.clear()
     assert small.fill() == 0 and not small.check(inside).any()
     assert not Bloom.of_column(values.limit(0), "kmer").check(inside).any()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fallback_rows(spark, seed):
+    """Against a scan that forgets its k-mer at each splitter."""
+    from tests.test_sequences import brute_kmers
+
+    rnd = random.Random(seed)
+    k, size, share = 7, 40, 0.5
+    rows = [("a", f"c{i}", "".join(rnd.choice("ACGTACGTACGTACGTACGTN") for _ in range(n))) for i, n in enumerate((400, 150, 30, 5, 0))]
+    df = spark.createDataFrame(rows, "sample string, contig string, seq string")
+    found = kmers.enumerate_kmers(df, k)
+    chosen = segments.choose_splitters(kmers.members(found, kmers.singletons(found)), k, size)
+    held = {(r.contig, r.pos): r.kmer for r in chosen.collect()}
+    want = set()
+    for _, c, seq in rows:
+        at = sorted(p for x, p in held if x == c)
+        prev, since, kept = None, 0, []
+        for pos, kmer, direct in brute_kmers(seq, k):
+            if pos < since:
+                continue
+            if codec.kept_by_hash(kmer, share, 3):
+                kept.append((pos, kmer, direct))
+            if pos in at and (pos == at[0] or pos - at[at.index(pos) - 1] >= max(size, k)):
+                want |= {(c, prev, kmer, *x) for x in kept}
+                prev, since, kept = kmer, pos + k, []
+        if at and len(at) > 1 and at[-1] - at[-2] < max(size, k):
+            want |= {(c, prev, held[c, at[-1]], *x) for x in kept}
+    got = {(r.contig, r.prev_splitter, r.splitter, r.pos, r.kmer, r.is_dir) for r in segments.fallback_rows(df, chosen, k, size, share, 3).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_sampled_index(spark, laid):
+    from tests.test_sequences import brute_kmers
+
+    want = set()
+    for r, seq in as_cut(laid):
+        if r.front is not None and r.back is not None:
+            want |= {(kmer, *((r.front, r.back) if direct else (r.back, r.front))) for _, kmer, direct in brute_kmers(seq, K) if codec.kept_by_hash(kmer, 0.3, 5)}
+    got = grouping.sampled_index(laid.withColumn("seq", grouping.oriented(laid["seq"])), K, 0.3, 5).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
