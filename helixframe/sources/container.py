@@ -20,22 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import read_number, write_number
+from .files import opened
 
 PARTS = "path string, stream_id long, stream string, raw_size long, part_id long, offset long, size long"
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return system.open_input_file(inner)
-
-
 def footer(path: str) -> list[tuple[int, str, int, int, int, int]]:
     """stream_id, stream, raw_size, part_id, offset and size of every part. A stream
     without parts has one row, whose part_id is -1.
     """
-    with _open(path) as file:
+    with opened(path) as file:
         end = file.size()
         if end < 8:
             raise ValueError(f"{path} is no archive: it has {end} bytes")
@@ -94,7 +88,7 @@ def read(wanted: DataFrame) -> DataFrame:
                     data.append(b"")
                     continue
                 if path != held:
-                    held, file = path, _open(path)
+                    held, file = path, opened(path)
                 file.seek(offset)
                 head = file.read(1)
                 number, _ = read_number(head + file.read(head[0]))

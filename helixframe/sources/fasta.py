@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bases import clean, contig_of, file_sample, sample_of
 from ..operators.ranking import with_previous
+from .files import Blocks, gzi, opened
 
 LINE = 80
 
@@ -39,6 +43,38 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name string, length long, offset long, line_bases long, line_width long")
 
 
+def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """name, start, end and seq of ranges (name, start, end; from 0, end exclusive) of an
+    indexed file: ``path``.fai tells where a record's lines are and, for a file of gzip
+    blocks, ``path``.gzi where its blocks are. Only the lines of a range are read, range
+    after range in the order of the file. Ranges are cut at the record's end and hold the
+    letters as they stand; those of records that are not there give no row.
+    """
+    rows = fai(spark, f"{path}.fai").join(wanted.select("name", "start", "end"), "name")
+    blocks = gzi(f"{path}.gzi") if path.endswith(".gz") else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with opened(path) as file:
+            packed = Blocks(file, blocks) if blocks else None
+            for batch in batches:
+                out = []
+                for length, offset, bases, width, start, end in zip(*(batch.column(c).to_pylist() for c in ("length", "offset", "line_bases", "line_width", "start", "end")), strict=True):
+                    a, b = max(0, start), min(end, length)
+                    if a >= b:
+                        out.append("")
+                        continue
+                    place = lambda i: offset + i // bases * width + i % bases  # noqa: B023, E731
+                    first, size = place(a), place(b - 1) + 1 - place(a)
+                    if packed is None:
+                        file.seek(first)
+                    data = file.read(size) if packed is None else packed.read(first, size)
+                    out.append(data.translate(None, b"\r\n").decode("latin-1"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "start", "end")), pa.array(out, pa.string())], names=["name", "start", "end", "seq"])
+
+    near = rows.repartitionByRange("offset", "start").sortWithinPartitions("offset", "start")
+    return near.mapInArrow(run, "name string, start long, end long, seq string")
+
+
 def sample_blocks(rows: DataFrame, order: Column, sample: str = "sample") -> DataFrame:
     """sample, first (its least place), blocks (runs of neighbouring rows) and contiguous.
 

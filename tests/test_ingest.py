@@ -1,5 +1,6 @@
 """Collections that grow by batches, and the command line, against what went in."""
 
+import gzip
 import random
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 from helixframe import __main__ as cli
 from helixframe.operators import grouping
 from helixframe.plans.collection import Collection
+from helixframe.sources import fasta as fasta_source
 from helixframe.streaming import ingest
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -94,3 +96,28 @@ def test_command_line(spark, tmp_path, batches, capsys):
     assert len(costs) == 1 + member.raw_length and int(costs[0].split("\t")[1]) == sum(int(x.split("\t")[1]) for x in costs[1:]) == sum(int(x.split("\t")[2]) for x in costs[1:])
     assert said("inspect", path, "--pack", str(member.group_id), "0")
     assert said("-o", str(tmp_path / "out.txt"), "listset", path) == [] and (tmp_path / "out.txt").read_text() == "A#0\nB#0\nD#0\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_indexed_ranges(spark, tmp_path, packed):
+    rnd = random.Random(7)
+    seqs = {f"S#{i}#c": "".join(rnd.choice("ACGTN") for _ in range(n)) for i, n in enumerate((1, 60, 61, 5000, 777, 0))}
+    data, index = b"", []
+    for name, x in seqs.items():
+        data += f">{name}\n".encode()
+        index.append(f"{name}\t{len(x)}\t{len(data)}\t60\t61")
+        data += "".join(x[i : i + 60] + "\n" for i in range(0, len(x), 60)).encode()
+    path = tmp_path / ("s.fa.gz" if packed else "s.fa")
+    (tmp_path / f"{path.name}.fai").write_text("\n".join(index) + "\n")
+    if packed:
+        places, out = [], b""
+        for i in range(0, len(data), 900):
+            places += [(len(out), i)] if i else []
+            out += gzip.compress(data[i : i + 900])
+        path.write_bytes(out)
+        (tmp_path / "s.fa.gz.gzi").write_bytes(b"".join(x.to_bytes(8, "little") for x in [len(places), *(y for p in places for y in p)]))
+    else:
+        path.write_bytes(data)
+    wanted = [(name, a, b) for name, x in seqs.items() for a, b in [(0, len(x)), (0, 10_000), (-3, 2), (5, 5), (9, 4), *((rnd.randrange(0, 5000), rnd.randrange(0, 5000)) for _ in range(6))]] + [("none", 0, 5)]
+    got = fasta_source.fetch(spark, str(path), spark.createDataFrame(wanted, "name string, start long, end long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((n, a, b, seqs[n][max(0, a) : b] if max(0, a) < b else "") for n, a, b in wanted if n in seqs)
