@@ -9,7 +9,9 @@
     length PATH SAMPLE CONTIG    its bases
     inspect PATH                 storage, or --groups, --layout, --group N, --pack GROUP PACK
     costs PATH SAMPLE CONTIG N   cost of every base of a segment against its reference
-    unpack FILE                  streams and parts of an archive container
+    import PATH FILE             a collection of what is in an archive
+    export PATH FILE             an archive of a collection
+    unpack FILE                  streams and parts of an archive
 
 Results go to the standard output, or with -o to a file or folder.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .functions import codec
 from .operators import grouping
 from .plans import collection
-from .sources import container, fasta
+from .sources import archive, container, fasta
 from .streaming import ingest
 
 
@@ -60,6 +62,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--group", type=int)
     c.add_argument("--pack", type=int, nargs=2)
     command("costs", "path", "sample", "contig", "segment")
+    command("import", "path", "file")
+    command("export", "path", "file")
     command("unpack", "file")
     return p
 
@@ -86,7 +90,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> Iterable[str]:
         return []
     if args.command == "unpack":
         return lines(container.parts(spark, args.file).orderBy("stream_id", "part_id"), "stream", "part_id", "offset", "size")
+    if args.command == "import":
+        a = archive.Archive(spark, args.file)
+        collection.create(a.contigs(), args.path, a.params["k"], a.params["segment_size"], a.params["min_match_len"])
+        return []
     c = collection.Collection(spark, args.path)
+    if args.command == "export":
+        archive.export(c, args.file)
+        return []
     if args.command == "listset":
         return lines(c.samples(args.prefix), "sample")
     if args.command == "listctg":

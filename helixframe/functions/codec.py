@@ -415,7 +415,7 @@ def code_id(value: int, last: int) -> int:
         return value
     if value == last + 1:
         return 1
-    return _against(value, last + 1) + 1
+    return against(value, last + 1) + 1
 
 
 def read_id(code: int, last: int) -> int:
@@ -424,11 +424,16 @@ def read_id(code: int, last: int) -> int:
         return code
     if code == 1:
         return last + 1
-    near, code = last + 1, code - 1
+    return read_against(code - 1, last + 1)
+
+
+def read_against(code: int, near: int) -> int:
+    """The inverse of against()."""
     return code if code >= 2 * near else near - (code + 1) // 2 if code % 2 else near + code // 2
 
 
-def _against(value: int, near: int) -> int:
+def against(value: int, near: int) -> int:
+    """A value told by a near one: see bases.zigzag_against()."""
     return value if value >= 2 * near else 2 * (value - near) if value >= near else 2 * (near - value) - 1
 
 

@@ -7,7 +7,9 @@ import pytest
 
 from helixframe import __main__ as cli
 from helixframe.operators import grouping
+from helixframe.plans import collection
 from helixframe.plans.collection import Collection
+from helixframe.sources import archive
 from helixframe.sources import fasta as fasta_source
 from helixframe.streaming import ingest
 
@@ -121,3 +123,30 @@ def test_indexed_ranges(spark, tmp_path, packed):
     wanted = [(name, a, b) for name, x in seqs.items() for a, b in [(0, len(x)), (0, 10_000), (-3, 2), (5, 5), (9, 4), *((rnd.randrange(0, 5000), rnd.randrange(0, 5000)) for _ in range(6))]] + [("none", 0, 5)]
     got = fasta_source.fetch(spark, str(path), spark.createDataFrame(wanted, "name string, start long, end long")).collect()
     assert sorted(tuple(r) for r in got) == sorted((n, a, b, seqs[n][max(0, a) : b] if max(0, a) < b else "") for n, a, b in wanted if n in seqs)
+
+
+def test_archive_round_trip(spark, tmp_path, batches):
+    rows = [x for b in batches for x in b]
+    df = spark.createDataFrame(rows, "sample string, contig string, seq string")
+    c = collection.create(df, str(tmp_path / "c"), 11, 150, 12)
+    archive.export(c, str(tmp_path / "a.bin"))
+    a = archive.Archive(spark, str(tmp_path / "a.bin"))
+    assert a.params == {"k": 11, "min_match_len": 12, "pack_cardinality": 50, "segment_size": 150}
+    assert [r["sample"] for r in a.samples().orderBy("at").collect()] == sorted({s for s, _, _ in rows})
+    names = ["sample", "contig", "part", "group_id", "in_group_id", "raw_length", "is_rev_comp"]
+    assert sorted(tuple(r) for r in a.segments().collect()) == sorted(tuple(r) for r in c.segments().select(*names).collect())
+    assert {(r["sample"], r.contig): r.seq for r in a.contigs().collect()} == {(s, x): seq for s, x, seq in rows}
+    one = a.sequences(a.segments().filter("contig = 'same' AND part = 1")).collect()
+    assert {r.seq for r in one} == {r.seq for r in c.sequences(c.segments().filter("contig = 'same' AND part = 1")).collect()}
+
+
+def test_archive_metadata_by_hand():
+    assert archive.read_params(bytes([21, 0, 0, 0, 20, 0, 0, 0, 50, 0, 0, 0])) == {"k": 21, "min_match_len": 20, "pack_cardinality": 50, "segment_size": 60_000}
+    assert archive.read_params(b"".join(x.to_bytes(4, "little") for x in (31, 20, 50, 1000, 16)))["segment_size"] == 1000
+    with pytest.raises(ValueError):
+        archive.read_params(b"12345678")
+    # Names: whole, as before but for a letter, the same first part, other parts.
+    coded = [b"chr 1 one", b"\x81 2 \x81", bytes([253]) + b" 2 \xffx\xff", b"other"]
+    data = b"\x01\x04" + b"".join(x + b"\0" for x in coded)
+    assert archive.read_contigs(data) == [["chr 1 one", "chr 2 one", "chr 2 oxe", "other"]]
+    assert archive.items(b"ab\xffc\xff") == [b"ab", b"c"] and archive.items(b"ab\xffc") == [b"ab", b"c"]
