@@ -20,7 +20,8 @@ Near repeats, among the distinct lines (one row each, with the place of its firs
 4. The witness's words are compared with the line's: the edit distance is 1 if their
    common beginning and end cover all but one word of the longer.
 
-Built-in functions only. Hot lines, keys and documents are aggregated map-side.
+Built-in functions only. Hot lines, keys, variants and witnesses are aggregated map-side,
+and their few rows are broadcast to those that look them up.
 
 Defined results: null text has no lines and stays null; repeated rows: the later of
 two equal lines of the same place is not told from it, so rows that repeat a document
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import numbered
-from .common import stored, table
+from .common import dropped, spread_join, stored, table
 
 #: Fewest words of lines that are compared with others by edits; 2 or more.
 MIN_WORDS = 5
@@ -128,13 +129,15 @@ def witnesses(lines: DataFrame) -> DataFrame:
     emitted = stored(variants(lines), "line-variants")
     # Equal variants at the same place: all of such a group are one word apart, so its
     # least stands for it, combined before the shuffle.
-    groups = emitted.groupBy("key", "at").agg(F.min("r").alias("w"), F.max("r").alias("most")).filter("w < most").select("key", "at", "w")
-    replaced = emitted.join(groups, ["key", "at"]).filter("r > w").select("r", "w")
+    groups = emitted.groupBy("key", "at").agg(F.min("r").alias("w"), F.max("r").alias("most"), F.count("*").alias("n")).filter("w < most").select("key", "at", "w", "n")
+    replaced = spread_join(emitted, groups, ["key", "at"], "n", emitted.count()).filter("r > w").select("r", "w")
     # A variant that is a line: at most one line has its words.
     longer = emitted.select("key", F.col("r").alias("more")).join(whole_keys(lines).withColumnRenamed("r", "less"), "key")
     lacks = longer.filter("less < more").select(F.col("more").alias("r"), F.col("less").alias("w"))
     has = longer.filter("more < less").groupBy(F.col("less").alias("r")).agg(F.min("more").alias("w"))
-    return replaced.unionByName(lacks).unionByName(has).distinct()
+    found = stored(replaced.unionByName(lacks).unionByName(has).distinct(), "line-witnesses")
+    dropped(lines.sparkSession, emitted)
+    return found
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -161,9 +164,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     exact = ["h1", "h2"]
     first = stored(rows.groupBy(*exact).agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "distinct-lines")
     keyed = first.filter("keys IS NOT NULL").select("h1", F.posexplode("keys").alias("side", "k"))
-    shared = keyed.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
+    shared = keyed.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("n")).filter("a != b").select("k", "n")
+    copies, distinct = first.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
     # Which of its ends a line shares: where it is only one, the edit is beyond it.
-    some = keyed.join(shared, "k", "left_semi").groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
+    some = spread_join(keyed, shared, ["k"], "n", distinct).groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
     wanted = first.join(some, "h1").select("first.doc", F.struct("first.line", *exact, "head", "tail").alias("c")).groupBy("doc").agg(F.collect_list("c").alias("wanted"))
     # Whole documents cross to their candidates, not single lines: fewer and larger rows.
     texts = lines_of(docs, id_col, F.col(text_col)).join(wanted, "doc")
@@ -177,13 +181,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = stored(numbered(texts, ["doc", "line", *exact], "r"), "line-texts")
     near = witnesses(lines.select("r", "words", "lo", "hi"))
     a, b = lines.select("r", *exact, place.alias("own"), "words"), lines.select(F.col("r").alias("w"), place.alias("earlier"), F.col("words").alias("witness"))
-    checked = near.join(a, "r").join(b, "w").filter("earlier < own")
+    b = b.join(near.groupBy("w").agg(F.count("*").alias("n")), "w")
+    checked = spread_join(near, b, ["w"], "n", near.count()).join(a, "r").filter("earlier < own")
     longer = F.size("words") >= F.size("witness")
     right = F.when(longer, one_edit(F.col("words"), F.col("witness"))).otherwise(one_edit(F.col("witness"), F.col("words")))
     near = checked.filter(right).groupBy(*exact).agg(F.min("earlier").alias("w"))
     # Every copy of a line that has an earlier neighbour goes; else all but the first.
     known = first.select(*exact, "first", "copies").join(near, exact, "left").filter("copies > 1 OR w IS NOT NULL")
-    gone = rows.select("doc", "line", *exact).join(known, exact).filter((place > F.col("first")) | F.col("w").isNotNull())
+    gone = spread_join(rows.select("doc", "line", *exact), known.withColumn("size", F.col("copies")), exact, "size", copies).filter((place > F.col("first")) | F.col("w").isNotNull())
     origin = F.least("first", F.coalesce("w", "first"))
     return gone.select("doc", "line", origin["doc"].alias("first_doc"), origin["line"].alias("first_line"), (origin != F.col("first")).cast("int").alias("edits")).distinct()
 
@@ -194,12 +199,14 @@ def clean_documents(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", te
     is left. ``gone`` has a row for each line; its longest list is that of a document.
     """
     lists = gone.groupBy(F.col("doc").alias("_hf_doc")).agg(F.collect_set(F.col("line").cast("int")).alias("_hf_gone"))
-    joined = docs.join(lists, docs[id_col] == F.col("_hf_doc"), "left")
-    lines = F.split(text_col, "\n", -1)
+    # Whole rows in one column: no name of a caller's column can clash.
+    joined = docs.select(F.struct("*").alias("_hf_row")).join(lists, F.col("_hf_row")[id_col] == F.col("_hf_doc"), "left")
+    old = F.col("_hf_row")[text_col]
+    lines = F.split(old, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_hf_gone")
-    text = F.when(F.col("_hf_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    kept = joined.withColumn("_hf_text", text).filter(F.col("_hf_gone").isNull() | F.rlike("_hf_text", F.lit("[^ \\t\\n\\x0B\\f\\r]")))
-    return kept.select(*[F.col("_hf_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("_hf_gone").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    kept = joined.select("_hf_row", "_hf_gone", text.alias("_hf_text")).filter(F.col("_hf_gone").isNull() | F.rlike("_hf_text", F.lit("[^ \\t\\n\\x0B\\f\\r]")))
+    return kept.select(*[F.col("_hf_text").alias(text_col) if c == text_col else F.col("_hf_row")[c].alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
