@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, table
+from .common import dropped, least_hashed, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the beginnings that are features.
@@ -117,7 +117,7 @@ def held_out(id_col: str) -> Column:
 def labelled(labels: DataFrame, id_col: str, label_col: str, max_labelled: int) -> DataFrame:
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     one = one.groupBy(F.col(id_col).alias("_hf_id")).agg(F.max(F.col(label_col) == 1).alias("_hf_toxic"))
-    return one.orderBy(F.xxhash64("_hf_id"), "_hf_id").limit(max_labelled)
+    return least_hashed(one, F.xxhash64("_hf_id"), max_labelled)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

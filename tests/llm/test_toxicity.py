@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -123,3 +124,19 @@ def test_no_law_is_an_error():
     model = T.Model(words={"bad": 3.0})
     with pytest.raises(ValueError):
         T.fit_law(model, [(10, list(range(10)), [3.0] * 10)])
+
+
+def test_scores_equal_a_loop(spark):
+    """Evidence and score of every document from a dense scan by the definition."""
+    rows = invented(1, seed=9)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    got = {r["_hf_id"]: r for r in T.apply(docs, model).collect()}
+    assert any(r.passages for r in got.values())
+    for i, text, _ in rows[::3]:
+        words = text.split()
+        found = brute_segments([model.gain(w) or -model.loss for w in words])
+        evidence = sum(max(0.0, -math.log(model.factor * len(words)) + model.scale * s) for _, _, s in found)
+        assert [round(p.score, 6) for p in got[i].passages] == [round(s, 6) for _, _, s in found]
+        assert got[i].evidence == pytest.approx(evidence) and got[i].score == pytest.approx(1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(evidence)))))
