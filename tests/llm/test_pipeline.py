@@ -71,3 +71,19 @@ def test_rows_of_one_id_are_judged_apart(spark, tmp_path):
         for i in (None, 900):
             assert {t for j, t in kept if j == i and t} == {toxic, clean, leak} - {gone}
         assert (901, None) in kept and (None, None) in kept
+
+
+def test_empty_tables_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("documents", schema)):
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
+    long = "\n".join(f"line {i} of a text that goes on and on" for i in range(20_000))
+    rows = [(1, long, "en", "s", len(long)), (2, "short words in a line", "en", "s", 21), (2, "others under that id", "en", "s", 20), (None, None, None, None, None)]
+    now = spark.createDataFrame(rows, schema)
+    for _, stage in P.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = {(r.doc_id, r.text) for r in now.collect()}
+    # Each line is one replaced word from the first: those after it go.
+    assert kept == {(1, "line 0 of a text that goes on and on"), (2, "short words in a line"), (2, "others under that id"), (None, None)}
