@@ -9,11 +9,13 @@ tables have the results that the operators' modules define. Stages reject rows b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from helixframe.llm.common import stored, table
+from helixframe.llm.common import dropped, scratch, shared_dir, table
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -71,7 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what the stage needs beside its result goes with it
+            kept = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/helixframe/pipeline-{name}-{uuid.uuid4().hex}"
+            kept.write.parquet(path)
+        if before is not None:
+            dropped(spark, before)
+        docs = before = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
