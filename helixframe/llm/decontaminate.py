@@ -2,8 +2,9 @@
 
 A text's words are runs of letters and digits, lower-cased. A document holds a passage
 of an item where, at some offset, ``window`` neighbouring words of both (all words of
-the item if it is shorter, but ``least_words`` or more) differ in at most a fifth of
-the places: copies survive replaced words. Items shorter than that are never found.
+the item if it is shorter, but LEAST_WORDS or more) differ in at most a fifth of the
+places: copies survive replaced words. Items of fewer words ("yes") stand in most texts by
+chance: they are found, exactly, where a whole line of the document is their words.
 
 Seeds are masks over neighbouring places, of which some are ignored: whichever words of
 a window are replaced, within that bound, some mask meets it with equal words at all
@@ -13,14 +14,16 @@ hits, and around each hit the words of the two are compared along its diagonal.
 
 The hashes of the items are broadcast if they have at most ``broadcast_rows`` rows.
 Beyond that documents emit their hashes (one row for each mask and place) and join them
-with those of the items by a shuffle; the rows of a hash that many documents share are
-split by Spark, as both sides are plain join inputs. Either way the hits are checked by
-the same function.
+with those of the items by a shuffle; a bitmap of FILTER_BITS, in which every hash of an
+item has set a bit, is broadcast first, so that few others of the documents' are emitted;
+the rows of a hash that many documents share are split by Spark, as both sides are plain
+join inputs. Either way the hits are checked by the same function.
 
 Defined results: null or empty texts and empty tables hold nothing; repeated rows of a
 document give the same rows once; documents with a null id count as one of that id on
 either path; repeated item ids are items of the same name; very
-long documents are searched whole. Only the named columns are read.
+long documents are searched whole; of several overlaps of a document with an item the one
+with the most equal words is given, of these the first. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ WORD = re.compile(r"[^\W_]+")
 WINDOW, LEAST_WORDS, SHARE = 13, 5, 0.2
 #: Rows of the items' seed table that are broadcast (24 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Bits of the filter beyond that (16 MB); it holds whatever the items' number is.
+FILTER_BITS = 1 << 27
 
 
 @lru_cache
@@ -90,6 +96,10 @@ class Seeds:
 
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.items = [(k, w) for k, w in items if len(w) >= LEAST_WORDS]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k, w in items:
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(k)
         self.number: dict[str, int] = {}
         for _, words in self.items:
             for w in words:
@@ -130,6 +140,13 @@ class Seeds:
             out.append((item[at], np.repeat(near, n), place[at]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
+    def found(self, texts: list[str | None]) -> list[tuple[int, int, tuple[int, int, int]]]:
+        """overlaps() of texts, and the lines that are a short item."""
+        out = self.overlaps([words_of(t) for t in texts])
+        if self.short:
+            out += [(i, item, x) for i, t in enumerate(texts) for words, x in short_lines(t) for item in self.short.get(words, ())]
+        return out
+
     def overlaps(self, texts: list[list[str]]) -> list[tuple[int, int, tuple[int, int, int]]]:
         """For texts as words: text, item and, on the diagonal with most equal words,
         first place, place after the last, and equal words of the windows that hold it.
@@ -155,6 +172,18 @@ class Seeds:
         return [(t, self.items[i][0], x) for (t, i), x in best.items()]
 
 
+def short_lines(text: str | None) -> Iterator[tuple[tuple[str, ...], tuple[int, int, int]]]:
+    """The words of each line of fewer than LEAST_WORDS, with the place of the first, the
+    place after the last, and their number.
+    """
+    at = 0
+    for line in (text or "").lower().split("\n"):
+        words = WORD.findall(line)
+        if 0 < len(words) < LEAST_WORDS:
+            yield tuple(words), (at, at + len(words), len(words))
+        at += len(words)
+
+
 def whole(codes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """Places where all words under the mask have numbers."""
     n = len(codes) - mask[-1]
@@ -187,7 +216,7 @@ def _searched(seeds: Seeds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             keys = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
-            yield _batch([(*keys[t], item, *x) for t, item, x in seeds.overlaps([words_of(t.as_py()) for t in part.column(1)])])
+            yield _batch([(*keys[t], item, *x) for t, item, x in seeds.found([t.as_py() for t in part.column(1)])])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, text_hash: bool = False) -> DataFrame:
@@ -220,37 +249,50 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
     shapes = [shape(n) for n in range(LEAST_WORDS, WINDOW + 1)]
     every = sorted({m for s in shapes for m in masks_for(*s)})
 
-    def code(word: str) -> int:
-        return int.from_bytes(xxh(word.encode()), "little") | 1
+    def code(text: str) -> int:
+        from xxhash import xxh64_intdigest
 
-    def xxh(data: bytes) -> bytes:
-        from xxhash import xxh64_digest
+        return xxh64_intdigest(text.encode()) | 1
 
-        return xxh64_digest(data)
+    def emitted(own: bool, bits: Broadcast | None = None):
+        """Hashes of items (by their masks) or of documents (by every mask, those whose bit
+        is set); the mask -1 stands for a whole line of few words.
+        """
 
-    def emitted(own: bool):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     words = words_of(text.as_py())
                     codes = np.array([code(w) for w in words], np.uint64).view(np.int64)
                     masks = every if not own else masks_for(*shape(len(words))) if len(words) >= LEAST_WORDS else ()
-                    for mask in masks:
-                        h = np.unique(hashed(codes, mask))
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array([every.index(mask)] * len(h), pa.int32()), pa.array(h)], names=["key", "mask", "hash"])
+                    lines = [tuple(words)] * (0 < len(words) < LEAST_WORDS) if own else [w for w, _ in short_lines(text.as_py())]
+                    some = [(-1, np.array([code(" ".join(w)) for w in lines], np.uint64).view(np.int64)), *((every.index(m), hashed(codes, m)) for m in masks)]
+                    for mask, h in some:
+                        h = np.unique(h)
+                        if bits is not None:
+                            at = (h.view(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                            h = h[bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1]
+                        if len(h):
+                            yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array([mask] * len(h), pa.int32()), pa.array(h)], names=["key", "mask", "hash"])
 
         return emit
 
     kind = "key long, mask int, hash long"
-    left = rows.select("_hf_key", "_hf_text").mapInArrow(emitted(False), kind).withColumnRenamed("key", "_hf_key")
-    right = known.mapInArrow(emitted(True), kind).withColumnRenamed("key", "item").distinct()
+    right = stored(known.mapInArrow(emitted(True), kind).withColumnRenamed("key", "item").distinct(), "item-seeds")
+    at = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = right.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    held = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in words.toLocalIterator():
+        held[r["word"]] = np.int64(r["bits"]).astype(np.uint64)
+    bits = rows.sparkSession.sparkContext.broadcast(held)
+    left = rows.select("_hf_key", "_hf_text").mapInArrow(emitted(False, bits), kind).withColumnRenamed("key", "_hf_key")
     hits = stored(left.join(right, ["mask", "hash"]).select("_hf_key", "item").distinct(), "seed-hits")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, digest, item, a, b in zip(*(batch.column(c) for c in ("_hf_id", "_hf_hash", "item", "_hf_text", "item_text")), strict=True):
-                out += [(key.as_py(), digest.as_py(), item.as_py(), *x) for _, _, x in Seeds([(item.as_py(), words_of(b.as_py()))]).overlaps([words_of(a.as_py())])]
+                out += [(key.as_py(), digest.as_py(), item.as_py(), *x) for _, _, x in Seeds([(item.as_py(), words_of(b.as_py()))]).found([a.as_py()])]
             yield _batch(out)
 
     both = hits.join(rows, "_hf_key").join(known.select("item", F.col("text").alias("item_text")), "item")

@@ -65,3 +65,11 @@ def test_null_and_large_ids(spark, docs, rows):
     texts = [(None, f"before {passage} after"), (None, "nothing of that kind " * 5), (2**62 + 1, passage), (3, "clean text " * 10)]
     got = D.contaminated(docs(texts), spark.createDataFrame([(7, passage)], "item_id long, text string"), broadcast_rows=rows).collect()
     assert sorted((str(r.doc_id), r.item_id, r.first_word) for r in got) == [("4611686018427387905", 7, 0), ("None", 7, 1)]
+
+
+@pytest.mark.parametrize("rows", [D.BROADCAST_ROWS, 0])
+def test_short_items_are_whole_lines(spark, docs, rows):
+    bench = spark.createDataFrame([(1, "Yes, it is!"), (2, "yes"), (3, "Yes it IS"), (4, "one two three four five")], "item_id long, text string")
+    texts = [(1, "first line here\nyes it is\nlast"), (2, "yes it is so\nand no"), (3, "a\n YES. \nb"), (4, "x one two three four five y"), (5, "yes\nyes"), (6, None)]
+    got = D.contaminated(docs(texts), bench, broadcast_rows=rows).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word, r.end_word, r.same_words) for r in got) == [(1, 1, 3, 6, 3), (1, 3, 3, 6, 3), (3, 2, 1, 2, 1), (4, 4, 1, 6, 5), (5, 2, 0, 1, 1)]
