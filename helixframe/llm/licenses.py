@@ -18,7 +18,8 @@ is that of a licence file.
 Documents without a licence of their own take that of the nearest directory above them
 that has one (of several files there, the smallest path). Directories, not documents,
 are joined with their ancestors, so a directory that holds a third of all documents is
-looked up once; its documents then meet one row by a join that Spark can split.
+looked up once; its documents then meet that row where they are (hot directories are
+broadcast).
 
 Built-in functions only. Defined results: null or empty texts have no licence of their
 own and may inherit; a null path neither gives nor takes; repeated rows give one row
@@ -35,7 +36,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import spread_join, stored, table
 from .license_templates import FRAMES, NAMES, TEXTS, whole_texts
 
 #: The customary notices of licences.
@@ -169,10 +170,13 @@ def scan_licenses(docs: DataFrame, id_col: str, text_col: str, path: Column, tem
     given = own.filter("file AND path IS NOT NULL").groupBy("directory").agg(F.min(F.struct("path", "license"))["license"].alias("inherited"))
     parts = F.split("directory", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    places = own.filter("directory IS NOT NULL").select("directory").distinct()
+    places = own.filter("directory IS NOT NULL").groupBy("directory").agg(F.count("*").alias("n"))
     met = places.select(F.col("directory").alias("_hf_dir"), F.explode(F.array_distinct(above)).alias("directory")).join(given, "directory")
-    nearest = met.groupBy("_hf_dir").agg(F.max(F.struct(F.length("directory").alias("n"), F.col("directory").alias("d"), "inherited")).alias("x")).select("_hf_dir", "x.d", "x.inherited")
-    out = own.join(nearest, own["directory"] == nearest["_hf_dir"], "left")
+    nearest = met.groupBy(F.col("_hf_dir").alias("directory")).agg(F.max(F.struct(F.length("directory").alias("n"), F.col("directory").alias("d"), "inherited")).alias("x"))
+    # Every directory once, with its documents counted, and those without a path as they are.
+    every = places.join(nearest, "directory", "left").select("directory", "n", "x.d", "x.inherited")
+    lost = own.filter("directory IS NULL").withColumns({"d": F.lit(None).cast("string"), "inherited": F.lit(None).cast("string")})
+    out = spread_join(own, every, ["directory"], "n", own.count()).unionByName(lost)
     lacks = F.col("license").isNull()
     return out.select(F.col("_hf_id").alias(id_col), "directory", "license", "score", F.when(lacks, F.col("inherited")).alias("inherited"), F.when(lacks, F.col("d")).alias("inherited_from"))
 

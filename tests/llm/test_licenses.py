@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from helixframe.llm import licenses as L
@@ -73,3 +78,67 @@ def test_headers_and_whole_files(spark):
     rows = [(1, mit, "m/TERMS"), (2, "code", "m/x.py"), (3, bsd + as_is, "b2/TERMS"), (4, bsd + lab + as_is, "b3/TERMS"), (5, "code", "b3/a/x.py"), (6, header, "h/x.c"), (7, "code", "h/y.c"), (8, gnu, "g/x.c"), (9, gpl.split("\n", 6)[6], "p/TERMS"), (10, "code", "p/x.py"), (11, "code", "b2/q")]
     got = scan(spark, rows)
     assert {i: r.license or r.inherited for i, r in got.items()} == {1: "MIT", 2: "MIT", 3: "BSD-2-Clause", 4: "BSD-3-Clause", 5: "BSD-3-Clause", 6: "Apache-2.0", 7: None, 8: "LGPL-3.0", 9: "GPL-3.0", 10: "GPL-3.0", 11: "BSD-2-Clause"}
+
+
+def brute(rows):
+    """doc -> (licence, inherited) of (doc, text, path): cosines and directories by loops."""
+    short, long = L.all_templates(L.TEMPLATES)
+    idf, having = {}, {}
+    for name, words in short + long:
+        for w in words:
+            having.setdefault(w, set()).add(name)
+    total = len({n for n, _ in short + long})
+    idf = {w: (math.log((1 + total) / (1 + len(n))) + 1) * (L.NAME_WEIGHT if w.startswith("id:") else 1.0) for w, n in having.items()}
+    vectors = [(n, {w: c * idf[w] for w, c in Counter(words).items()}) for n, words in short + long]
+
+    def cosine(unit, template):
+        own = {w: c * idf.get(w, 0.0) for w, c in Counter(unit).items()}
+        norm = math.sqrt(max(1.0, sum(v * v for v in own.values()) + sum(c for w, c in Counter(unit).items() if w not in idf)))
+        return sum(v * template.get(w, 0.0) for w, v in own.items()) / norm / math.sqrt(sum(v * v for v in template.values()))
+
+    named = lambda x: re.search(L.UNIT, x) is not None
+    judged = {}
+    for i, text, path in rows:
+        text = text or ""
+        lines = [x for x in text.split("\n") if x.strip(" ")]
+        parts = [x for x in re.split(r"\n[^\w\n]*(?=\n)", text) if "\n" in x.strip(" ")]
+        units = [text, *(x for x in lines if named(x)), *(x for x in parts if named(x))] if named(text) else []
+        best = [min((-round(cosine(L.template_words(u), v), 6), n) for n, v in vectors) for u in units]
+        score, name = min(best, default=(0, None))
+        good = -score >= L.THRESHOLD
+        file = good and (-best[0][0] >= L.THRESHOLD or sum(map(named, lines)) >= L.FILE_SHARE * len(lines) or bool(path and re.search(L.LICENSE_FILE, path)))
+        judged[i] = (name if good else None, file, path)
+    given = {}
+    for i, (name, file, path) in judged.items():
+        if file and path is not None:
+            folder = path.rpartition("/")[0]
+            given[folder] = min(given.get(folder, (path, name)), (path, name))
+    out = {}
+    for i, (name, _, path) in judged.items():
+        folder, inherited = (path or "").rpartition("/")[0], None
+        while path is not None and name is None:
+            if folder in given or not folder:
+                inherited = given.get(folder, (None, None))[1]
+                break
+            folder = folder.rpartition("/")[0]
+        out[i] = (name, inherited)
+    return out
+
+
+def test_equals_a_loop(spark, docs):
+    rnd = random.Random(4)
+    notices = [*L.TEMPLATES.values(), "// SPDX-License-Identifier: MIT", "Copyright 2020 someone\n# all rights reserved", "This license is of no kind", *[t for _, t in L.TEXTS[:4]]]
+    rows = []
+    for i in range(160):
+        lines = [" ".join(rnd.choice(["word", "value", "main", "text", "license", "of"]) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(0, 8))]
+        if rnd.random() < 0.4:
+            lines.insert(rnd.randint(0, len(lines)), rnd.choice(notices))
+        if rnd.random() < 0.3:
+            lines.insert(rnd.randint(0, len(lines)), rnd.choice(["", " * ", "#"]))
+        path = "/".join(rnd.choice("abc") for _ in range(rnd.randint(0, 3))) + rnd.choice(["/f.c", "/LICENSE", "/copying.txt"]) + str(i)
+        rows.append((i, rnd.choice(["\n".join(lines)] * 9 + [None]), rnd.choice([path.lstrip("/")] * 9 + [None])))
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.license, r.inherited) for r in L.scan_licenses(table, "doc_id", "text", F.col("path")).collect()}
+    want = brute(rows)
+    assert got == want
+    assert sum(a is not None for a, _ in want.values()) > 20 and sum(b is not None for _, b in want.values()) > 10
