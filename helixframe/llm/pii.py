@@ -8,13 +8,15 @@ telephone number without its country, an address of the sixth version, a card in
 groups) give further candidates.
 
 Four labelers vote on every candidate, base, failed or wide, with yes, no or nothing:
-the pattern and its test, a gazetteer of the kind (top-level domains, country codes,
-issuer numbers, reserved networks), the words before it, and the characters around it.
-The votes are counted over all documents by kind and combination, a table of at most
-4 x 81 rows, from which expectation-maximisation estimates how often each labeler votes
-how on real and on false candidates, without labels. A logistic classifier for each
-kind is trained on the votes and these posteriors; wide candidates that it gives
-``threshold`` or more, and that touch no base span, are added.
+the pattern and its test (that of the base pattern, or of the wide one: check digits,
+number plans, a name before the sign), a gazetteer of the kind (top-level domains,
+country codes, issuer numbers, reserved networks), the words before it, and the
+characters around it. They are counted over all documents by kind, votes and shape of
+the span (length, share of digits, other signs, each in four steps), a table of at most
+4 x 81 x 64 rows. Expectation-maximisation estimates from the votes, without labels, how
+often each labeler votes how on real and on false candidates. A logistic classifier for
+each kind is trained on votes and shape against these posteriors; wide candidates that it
+gives ``threshold`` or more, and that touch no base span, are added.
 
 Built-in functions only. The patterns are possessive and start at the beginning of a
 run of their characters or where the last match ended, which finds the same matches in
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +48,8 @@ BASE = {
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,6}",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_])",
-    "phone": r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}[ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "card": r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9/_]|\.[0-9])",
+    "phone": r"(?<![0-9+(.-])(?<!\+[0-9]{1,3}[ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
 #: What a text holds at least for a pattern to be tried.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
@@ -72,6 +75,8 @@ BEFORE_YES = {
 }
 BEFORE_NO = r"\b(?:version|release|isbn|issn|doi|order|invoice|serial|build|section|figure|part no|item)\W*$"
 LABELERS = ("test", "gazetteer", "before", "around")
+#: What tells a span's shape, each 0 to 3.
+SHAPE = ("size", "digits", "marks")
 
 
 def prefix_sums(values: Column) -> Column:
@@ -112,6 +117,18 @@ def passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def passes_wide(kind: str, match: Column) -> Column:
+    """The test of a wide match: does it hold what such data must hold?"""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    if kind == "email":
+        return F.rlike(match, F.lit(r"^[A-Za-z0-9][A-Za-z0-9._%+-]* ?[(\[{]")) & F.rlike(match, F.lit(r"[A-Za-z]{2,}$"))
+    if kind == "ip":  # more than one group that is not zero
+        return F.rlike(match, F.lit(r"[1-9A-Fa-f][0-9A-Fa-f]*:.*[1-9A-Fa-f]"))
+    if kind == "card":
+        return luhn(digits)
+    return F.rlike(digits, F.lit("^[2-9][0-9]{2}[2-9]")) & ~F.rlike(digits, F.lit("^[0-9]11|^[0-9]{3}[0-9]11"))
+
+
 def add_candidates(rows: DataFrame, kind: str, wide: bool) -> DataFrame:
     """Column <kind>_base or <kind>_wide: an array of start, end, good and the votes."""
     pattern, needs = (WIDE[kind], WIDE_NEEDS[kind]) if wide else (BASE[kind], NEEDS[kind])
@@ -128,12 +145,16 @@ def add_candidates(rows: DataFrame, kind: str, wide: bool) -> DataFrame:
         end = F.get("_hf_sums", i + 1)
         plain = F.regexp_replace(match, "[^0-9]", "") if kind == "card" else F.lower(match)
         good = F.lit(False) if wide else passes(kind, match)
-        test = F.lit(0) if wide else F.when(good, 1).otherwise(-1)
+        test = F.when(passes_wide(kind, match) if wide else good, 1).otherwise(-1)
         gazetteer = F.when(F.rlike(plain, F.lit(NO[kind])), -1).when(F.rlike(plain, F.lit(YES[kind])), 1).otherwise(0)
         context = F.when(F.rlike(before, F.lit(BEFORE_NO)), -1).when(F.rlike(before, F.lit(BEFORE_YES[kind])), 1).otherwise(0)
         glued = F.rlike(F.right(before, F.lit(1)), F.lit(r"[\p{L}\p{N}_]")) | F.rlike(after, F.lit(r"[\p{L}\p{N}_@]"))
         around = F.when(glued, -1).otherwise(1)
-        return F.struct((end - F.length(match)).alias("start"), end.alias("end"), good.alias("good"), *[v.cast("int").alias(n) for n, v in zip(LABELERS, (test, gazetteer, context, around), strict=True)])
+        numbers = F.length(F.regexp_replace(match, "[^0-9]", ""))
+        signs = F.length(F.regexp_replace(match, "[A-Za-z0-9]", ""))
+        shape = (F.least(F.lit(3), F.floor(F.length(match) / 10)), F.floor(numbers * 3 / F.length(match)), F.least(F.lit(3), signs))
+        told = [v.cast("int").alias(n) for n, v in zip(LABELERS + SHAPE, (test, gazetteer, context, around, *shape), strict=True)]
+        return F.struct((end - F.length(match)).alias("start"), end.alias("end"), good.alias("good"), *told)
 
     return rows.withColumn(out, F.transform("_hf_found", one)).drop("_hf_found", "_hf_parts", "_hf_sums")
 
@@ -173,34 +194,51 @@ def reliabilities(counts: Counts, rounds: int = 50) -> tuple[dict[tuple[int, ...
     return post, chance
 
 
-def classifier(counts: Counts, post: dict[tuple[int, ...], float], ridge: float = 1.0) -> list[float]:
-    """Weights of a logistic curve over (1, yes and no of each labeler), by gradient
-    steps on the counted combinations.
+def features(told: tuple[int, ...]) -> list[float]:
+    """1, yes and no of each labeler, and the steps of each sign of the shape."""
+    votes, shape = told[: len(LABELERS)], told[len(LABELERS) :]
+    return [1.0, *[float(v == s) for v in votes for s in (1, -1)], *[float(v == s) for v in shape for s in (1, 2, 3)]]
+
+
+def classifier(counts: Counts, post: dict[tuple[int, ...], float], ridge: float = 0.05) -> list[float]:
+    """Weights of a logistic curve over features() against the posteriors of the votes,
+    by Newton steps on the counted combinations.
     """
-    features = {k: [1.0, *[float(v == s) for v in k for s in (1, -1)]] for k in counts}
-    weights = [0.0] * (1 + 2 * len(LABELERS))
-    total = sum(counts.values()) + 1.0
-    for _ in range(1500):
-        slope = [-ridge / total * w for w in weights]
-        for k, n in counts.items():
-            z = sum(w * x for w, x in zip(weights, features[k], strict=True))
-            gap = n / total * (post[k] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            slope = [s + gap * x for s, x in zip(slope, features[k], strict=True)]
-        weights = [w + 2.0 * s for w, s in zip(weights, slope, strict=True)]
-    return weights
+    rows = sorted(counts)
+    size = len(features((0,) * len(LABELERS + SHAPE)))
+    if not rows:
+        return [0.0] * size
+    x = np.array([features(r) for r in rows])
+    n, y = np.array([counts[r] for r in rows], float), np.array([post[r[: len(LABELERS)]] for r in rows])
+    w = np.zeros(size)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + ridge * np.eye(size), x.T @ (n * (y - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w.tolist()
 
 
 def fit(candidates: DataFrame) -> dict[str, list[float]]:
-    """A classifier for each kind; only counts of vote combinations reach the driver."""
+    """A classifier for each kind; only counts of votes and shapes reach the driver."""
 
     def told(kind: str) -> Column:
-        return F.transform(F.concat(f"{kind}_base", f"{kind}_wide"), lambda c: F.struct(F.lit(kind).alias("kind"), *[c[n].alias(n) for n in LABELERS]))
+        return F.transform(F.concat(f"{kind}_base", f"{kind}_wide"), lambda c: F.struct(F.lit(kind).alias("kind"), *[c[n].alias(n) for n in LABELERS + SHAPE]))
 
-    votes = candidates.select(F.explode(F.concat(*map(told, KINDS))).alias("c")).select("c.*")
+    rows = candidates.select(F.explode(F.concat(*map(told, KINDS))).alias("c")).select("c.*")
     counted: dict[str, Counts] = {k: {} for k in KINDS}
-    for r in votes.groupBy("kind", *LABELERS).count().collect():
-        counted[r["kind"]][tuple(r[n] for n in LABELERS)] = r["count"]
-    return {k: classifier(c, reliabilities(c)[0]) for k, c in counted.items()}
+    for r in rows.groupBy("kind", *LABELERS, *SHAPE).count().collect():
+        counted[r["kind"]][tuple(r[n] for n in LABELERS + SHAPE)] = r["count"]
+    return {k: classifier(c, reliabilities(votes_of(c))[0]) for k, c in counted.items()}
+
+
+def votes_of(counts: Counts) -> Counts:
+    """The counts by votes alone."""
+    out: Counts = {}
+    for told, n in sorted(counts.items()):
+        out[told[: len(LABELERS)]] = out.get(told[: len(LABELERS)], 0) + n
+    return out
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
@@ -215,9 +253,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def added(kind: str) -> Column:
         def wanted(c: Column) -> Column:
-            z = F.lit(weights[kind][0])
-            for i, n in enumerate(LABELERS):
-                z = z + F.when(c[n] == 1, weights[kind][1 + 2 * i]).when(c[n] == -1, weights[kind][2 + 2 * i]).otherwise(0.0)
+            w = iter(weights[kind])
+            z = F.lit(next(w))
+            for n in LABELERS:
+                z = z + F.when(c[n] == 1, next(w)).when(c[n] == -1, next(w)).otherwise(0.0)
+            for n in SHAPE:
+                z = z + F.when(c[n] == 1, next(w)).when(c[n] == 2, next(w)).when(c[n] == 3, next(w)).otherwise(0.0)
             return (1 / (1 + F.exp(-z)) >= threshold) & ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
 
         return F.transform(F.filter(f"{kind}_wide", wanted), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
