@@ -57,10 +57,21 @@ def spaces(text: Column) -> Column:
     return text
 
 
-def lines_of(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """doc and lines (an array) of every document with an id and a text."""
-    some = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    return some.select("doc", F.split("text", "\n", -1).alias("lines"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str, folded: bool = False) -> DataFrame:
+    """doc and lines (an array) of every document with an id and a text; with spaces()
+    done where ``folded``. Rows are chosen by the bare columns: what a filter asks of a
+    computed one is computed again.
+    """
+    some = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    return some.select("doc", F.split(spaces(F.col("text")) if folded else F.col("text"), "\n", -1).alias("lines"))
+
+
+def worded_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, line and t (its words with one space between) of every line with words. An
+    outer generator, as to a plain one Spark adds filters that split every text again.
+    """
+    each = lines_of(docs, id_col, text_col, folded=True).select("doc", F.posexplode_outer("lines").alias("line", "text"))
+    return each.filter(F.trim("text") != "").select("doc", F.col("line").cast("long").alias("line"), plain(F.col("text")).alias("t"))
 
 
 def end_words(n: Column) -> Column:
@@ -157,7 +168,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     earlier line, which has the same words or is an edit away) and edits (0 or 1).
     """
     place = F.struct("doc", "line")
-    each = lines_of(docs, id_col, spaces(F.col(text_col))).select("doc", F.posexplode("lines").alias("line", "text")).select("doc", F.col("line").cast("long").alias("line"), plain(F.col("text")).alias("t")).filter("t != ''")
+    each = worded_lines(docs, id_col, text_col)
     each = each.withColumn("n", F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     rows = each.select("doc", "line", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), F.when(F.col("n") >= min_words, end_keys(F.col("t"), F.col("n"), min_words)).alias("keys"))
     rows = stored(rows, "lines")
@@ -170,11 +181,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     some = spread_join(keyed, shared, ["k"], "n", distinct).groupBy("h1").agg(F.max(F.col("side") % 2 == 0).alias("head"), F.max(F.col("side") % 2 == 1).alias("tail"))
     wanted = first.join(some, "h1").select("first.doc", F.struct("first.line", *exact, "head", "tail").alias("c")).groupBy("doc").agg(F.collect_list("c").alias("wanted"))
     # Whole documents cross to their candidates, not single lines: fewer and larger rows.
-    texts = lines_of(docs, id_col, F.col(text_col)).join(wanted, "doc")
-    texts = texts.select("doc", F.explode(F.transform("wanted", lambda c: F.struct(c.alias("c"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("x"))
-    texts = texts.select("doc", "x.c.*", "x.text").filter("text IS NOT NULL").withColumn("text", spaces(F.col("text"))).withColumn("t", plain(F.col("text"))).drop("text")
+    texts = lines_of(docs, id_col, text_col).join(wanted, "doc")
+    texts = texts.select("doc", F.explode_outer(F.transform("wanted", lambda c: F.struct(c.alias("c"), F.get("lines", c["line"].cast("int")).alias("text")))).alias("x"))
+    texts = texts.select("doc", "x.c.*", "x.text").withColumn("text", spaces(F.col("text"))).withColumn("t", plain(F.col("text"))).drop("text")
     # Rows that repeat a document id may share a place: the hashes tell their lines.
-    texts = texts.filter((F.xxhash64("t") == F.col("h1")) & (F.xxhash64(F.lit(1), "t") == F.col("h2"))).dropDuplicates(exact)
+    same = (F.xxhash64("t") == F.col("h1")) & (F.xxhash64(F.lit(1), "t") == F.col("h2"))
+    texts = texts.groupBy(*exact, "doc", "line", "head", "tail").agg(F.max(F.when(same, F.col("t"))).alias("t")).filter("t IS NOT NULL")
     texts = texts.withColumn("words", F.split("t", " ")).drop("t")
     n, kept = F.size("words"), end_words(F.size("words"))
     texts = texts.withColumn("lo", F.when(F.col("tail"), 0).otherwise(kept)).withColumn("hi", F.when(F.col("head"), n).otherwise(n - kept)).drop("head", "tail")

@@ -79,3 +79,12 @@ def test_one_word_lines_of_a_hot_kind(spark, docs):
     data = [(i, "common line of five words\nnumber " + str(i) + " of a long row") for i in range(400)]
     got = {(r.doc, r.line): r.edits for r in L.repeats(docs(data)).collect()}
     assert got == {(i, 0): 0 for i in range(1, 400)} | {(i, 1): 1 for i in range(1, 400)}
+
+
+def test_texts_are_split_once(spark, docs):
+    """What a plan filters by holds no split and no replacement of whole texts again."""
+    plan = L.worded_lines(docs([(1, "some words\nof\ttwo lines")]), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert filters and not any("split(" in x or "replace(" in x for x in filters) and plan.count("split(text") + plan.count("split(replace") == 1
+    got = L.worded_lines(docs([(1, "some  words\n \t\nof\ttwo lines"), (2, None), (None, "a b"), (3, "")]), "doc_id", "text").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "some words"), (1, 2, "of two lines")]
