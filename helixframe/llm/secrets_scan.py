@@ -8,14 +8,18 @@ words cover, hints in the document's path, and the neighbouring words.
 
 The forest is trained on labelled findings: (path, before, candidate, after, secret).
 There is no table of them here, so labelled_findings() makes ``size`` of them by rule:
-keys and what patterns take for keys, between words that are cut from ``sample_rows``
-documents (those of smallest hash of id and text); a table of one's own can be passed instead.
-The dictionary and the transitions are those of the same documents: words of letters that
-two or more of them hold (one, where there are fewer than fifty documents). Both numbers
-bound what is trained on; training takes place on the driver, which gets of the sample
-its words and a short piece of each document. The model is broadcast.
-
-Documents are scanned whole, where they are read; there is no shuffle. Defined results:
+keys and what patterns take for keys; findings of one's own can be passed instead. What
+stands around a made finding is drawn from all documents: each gives one place, places
+that all features see alike are counted together, and the draw goes by the counts. The
+words in made names are drawn by their rank in the whole dictionary.
+
+The dictionary and the transitions are those of all documents: words of letters that two
+or more different rows hold (one, where there are fewer than fifty). They stay a table,
+of any size: what candidates and findings ask of it (runs of 2 to 14 letters) meets it by
+a join, and each document is judged with the entries that its own candidates ask for.
+Only the forest is trained on the driver, by the made findings or those passed.
+
+Documents are scanned whole, where they are read; only candidates are shuffled. Defined results:
 null and empty texts hold nothing; a null path gives no hints; repeated rows give their
 findings once each; an empty table gives no rows. Every candidate is judged; of those
 that the forest takes and that overlap, a known key wins over an assigned value and this
@@ -29,17 +33,20 @@ import hashlib
 import math
 import random
 import re
+import uuid
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, least_hashed, stored, table
+from ..operators.ranking import numbered
+from .common import dropped, spread_join, stored, table
 
 KEYS = [r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk-[A-Za-z0-9_-]{20,}", r"AIza[A-Za-z0-9_-]{35}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"]
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(KEYS)})(?![A-Za-z0-9])")
@@ -52,9 +59,13 @@ TELLING = re.compile(r"(?i)pass|pwd|token|secret|key|auth|credential|bearer")
 INNOCENT = re.compile(r"(?i)commit|sha|md5|checksum|hash|uuid|example|sample|dummy|test|version|build|id\b|isbn|etag|revision")
 PATH = re.compile(r"(?i)test|example|sample|fixture|mock|docs?/|\.md$|readme")
 HEX = re.compile(r"[0-9a-f]+\Z")
+#: What may stand between a name's sign and a value, such signs, and what may end a value.
+SPACED, SAYS, QUOTES = " \"'", ("=", ":", "=>"), ('"', "", "&quot;")
 THRESHOLD = 0.5
-#: Documents that dictionary, transitions and surroundings are taken from.
-SAMPLE_ROWS = 2000
+#: Words of letters in lower-case text, and what may be asked of the dictionary.
+WORD = r"(?<![\p{L}\p{N}_])(\p{L}{3,20})(?![\p{L}\p{N}_])"
+ASKED = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]{2,}")
+LONGEST = 14
 
 
 @dataclass
@@ -73,17 +84,23 @@ class Lexicon:
 
     @classmethod
     def of_documents(cls, sample: DataFrame, text_col: str) -> Lexicon:
-        """The words of a bounded number of documents."""
-        found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?<![\p{L}\p{N}_])(\p{L}{3,20})(?![\p{L}\p{N}_])"), F.lit(1)))
+        """The words of documents whose words the driver can hold."""
+        found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(1)))
         least = 2 if sample.count() >= 50 else 1
         rows = sample.select(F.explode(found).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
         return cls.of({r["w"] for r in rows.collect()})
 
+    @classmethod
+    def of_entries(cls, entries: Iterable[tuple[str, int | None]], total: int) -> Lexicon:
+        """Of words (without a number) and pairs of letters (with theirs)."""
+        entries = list(entries)
+        return cls(frozenset(p for p, n in entries if n is None), {p: math.log((n + 1) / total) for p, n in entries if n is not None}, math.log(1 / total))
+
     def coverage(self, text: str) -> float:
         """Share of the characters in dictionary words, longest first from the left."""
         low, i, held = text.lower(), 0, 0
         while i < len(low):
-            n = next((n for n in range(min(14, len(low) - i), 2, -1) if low[i : i + n] in self.words), 0)
+            n = next((n for n in range(min(LONGEST, len(low) - i), 2, -1) if low[i : i + n] in self.words), 0)
             held, i = held + n, i + (n or 1)
         return held / max(1, len(low))
 
@@ -92,6 +109,92 @@ class Lexicon:
         return sum(self.pairs.get(low[i : i + 2], self.floor) for i in range(len(low) - 1)) / max(1, len(low) - 1)
 
 
+@dataclass
+class Dictionary:
+    """Words and pairs of letters of all documents as a table: part, and n, the number of
+    a pair in the words (null for a word). total is that of all pairs, and 676.
+    """
+
+    entries: DataFrame
+    total: int
+
+    @classmethod
+    def of_documents(cls, docs: DataFrame, id_col: str, text_col: str) -> Dictionary:
+        some = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+        found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))
+        # An outer generator: to a plain one Spark adds filters that look for the words again.
+        words = some.select("h", F.explode_outer(found).alias("part")).groupBy("part").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+        few = some.agg(F.count_distinct("h")).first()[0] < 50
+        words = stored(words.filter("part IS NOT NULL" if few else "part IS NOT NULL AND a < b").select("part", F.lit(None).cast("long").alias("n")), "secrets-words")
+        pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("part") - 1), lambda i: F.substr("part", i, F.lit(2)))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+        entries = stored(words.unionByName(pairs), "secrets-entries")
+        dropped(docs.sparkSession, words)
+        return cls(entries, (entries.agg(F.sum("n")).first()[0] or 0) + 676)
+
+    def whole(self) -> Lexicon:
+        """All of it, where the driver can hold it."""
+        return Lexicon.of_entries(self.entries.collect(), self.total)
+
+    def asked_by(self, values: Iterable[str]) -> Lexicon:
+        """What it says of ``values``."""
+        parts = pa.table({"part": pa.array(sorted({x for v in values for x in asked(v)}), pa.string())})
+        few = F.broadcast(self.entries.sparkSession.createDataFrame(parts))
+        return Lexicon.of_entries(self.entries.join(few, "part").select("part", "n").collect(), self.total)
+
+    def drawn(self, draws: int, seed: int) -> list[str]:
+        """So many ASCII words, each drawn by its rank among all of them."""
+        words = self.entries.filter("n IS NULL AND length(part) = octet_length(part)").select("part")
+        if not (held := words.count()):
+            return []
+        rnd = random.Random(seed)
+        ranks = Counter(rnd.randint(1, held) for _ in range(draws))
+        few = self.entries.sparkSession.createDataFrame(pa.table({"r": pa.array(sorted(ranks), pa.int64())}))
+        found = numbered(words, ["part"], "r").join(F.broadcast(few), "r").select("r", "part").collect()
+        return [w for r, w in sorted(found) for _ in range(ranks[r])]
+
+
+def asked(value: str) -> Iterator[str]:
+    """All that coverage() and written() may look up of ``value`` and find."""
+    for m in ASKED.finditer(value.lower()):
+        run = m[0]
+        for i in range(len(run) - 1):
+            yield from (run[i:j] for j in range(i + 2, min(len(run), i + LONGEST) + 1))
+
+
+def profile(left: str, right: str) -> str:
+    """All that features() can see of what stands around a made finding: how far from
+    the end the patterns of the text before match, how it ends, and whether that of the
+    text after matches behind each of the quotes.
+    """
+    s = left.rstrip()
+    far = [next((len(s) - k for k in range(len(s) - 1, -1, -1) if p.match(s, k)), 0) if p.search(s) else 0 for p in (TELLING, INNOCENT)]
+    behind = [int(bool(INNOCENT.search(f"{q} {right.lstrip()}"[:16]))) for q in QUOTES]
+    return f"{far} {int(s.rstrip(SPACED).endswith(SAYS))} {behind}"
+
+
+def surroundings(docs: DataFrame, id_col: str, text_col: str) -> list[tuple[str, str, int]]:
+    """Left and right of a place in every document, one for each profile() with the
+    number of documents that have it; no more than profiles, however many documents.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list] = {}
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = seen.setdefault(profile(left, right), [left, right, 0])
+                x[0], x[1] = min((x[0], x[1]), (left, right))
+                x[2] += 1
+        names, rows = list(seen), list(seen.values())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64())))], names=["profile", "left", "right", "n"])
+
+    some = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter("text != ''")
+    at = F.pmod("h", F.length("text") + 1).cast("int")
+    some = some.select("text", at.alias("at")).select(F.substr("text", F.greatest(F.col("at") - 23, F.lit(1)), F.least("at", F.lit(24))).alias("left"), F.substr("text", F.col("at") + 1, F.lit(16)).alias("right"))
+    each = some.mapInArrow(count, "profile string, left string, right string, n long")
+    rows = each.groupBy("profile").agg(F.min(F.struct("left", "right")).alias("x"), F.sum("n").alias("n")).select("x.left", "x.right", "n").collect()
+    return sorted((r[0], r[1], r[2]) for r in rows)
+
+
 def features(lexicon: Lexicon, path: str, before: str, value: str, after: str) -> list[float]:
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
     n, counts = len(value), Counter(value)
@@ -110,7 +213,7 @@ def features(lexicon: Lexicon, path: str, before: str, value: str, after: str) -
         float(bool(PATH.search(path))),
         float(bool(TELLING.search(before))),
         float(bool(INNOCENT.search(before)) or bool(INNOCENT.search(value))),
-        float(before.rstrip(" \"'").endswith(("=", ":", "=>"))),
+        float(before.rstrip(SPACED).endswith(SAYS)),
         float(bool(INNOCENT.search(after))),
     ]
 
@@ -166,13 +269,16 @@ class Forest:
 
 
 Finding = tuple[str, str, str, str, int]
+#: Findings that are made where none are passed, and words drawn for each.
+MADE, WORDS_EACH = 4000, 8
 LOW, UP, DIGITS, HEXA = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
-def labelled_findings(pieces: list[str], words: list[str], size: int = 4000, seed: int = 11) -> list[Finding]:
+def labelled_findings(pieces: list[str], words: list[str], size: int = MADE, seed: int = 11, around: list[tuple[str, str, int]] | None = None) -> list[Finding]:
     """Findings (path, before, candidate, after, secret) made by rule: keys as services
     and people make them, and what patterns take for keys. ``pieces`` of documents stand
-    around them, and ``words`` make up names, paths and placeholders.
+    around them (or, where given, what surroundings() makes), and ``words`` make up names,
+    paths and placeholders.
     """
     rnd = random.Random(seed)
     pick = lambda s, n: "".join(rnd.choice(s) for _ in range(n))
@@ -233,12 +339,18 @@ def labelled_findings(pieces: list[str], words: list[str], size: int = 4000, see
         return rnd.choice(["order ", "version ", "build "]), pick(UP, 3) + pick(DIGITS, 20)
 
     out: list[Finding] = []
+    shares = list(accumulate(n for _, _, n in around or []))
     for i in range(size):
-        piece, real = rnd.choice(pieces), i % 2
-        at = rnd.randint(0, len(piece))
+        real = i % 2
+        if around:
+            left, right, _ = rnd.choices(around, cum_weights=shares)[0]
+            piece, at = left + right, len(left)
+        else:
+            piece = rnd.choice(pieces)
+            at = rnd.randint(0, len(piece))
         said, value = secret() if real else innocent()
         path = rnd.choice(["src/app", "src0/en", "web/main.py", "conf/prod.yaml", "data/de"] + ([] if real else ["tests/unit", "docs/readme.md", "examples/app"]))
-        out.append((path, (piece[max(0, at - 24) : at].rstrip() + " " + said)[-24:], value, (rnd.choice(['"', "", "&quot;"]) + " " + piece[at : at + 16].lstrip())[:16], real))
+        out.append((path, (piece[max(0, at - 24) : at].rstrip() + " " + said)[-24:], value, (rnd.choice(QUOTES) + " " + piece[at : at + 16].lstrip())[:16], real))
     return out
 
 
@@ -253,25 +365,26 @@ class Model:
         return cls(lexicon, Forest(x, np.array([f[4] for f in findings], float), trees))
 
     @classmethod
-    def fit(cls, docs: DataFrame, id_col: str, text_col: str, findings: list[Finding] | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
-        """Trained on ``findings``, or on made ones, with the words of ``sample_rows``
-        documents.
+    def fit(cls, docs: DataFrame, id_col: str, text_col: str, findings: list[Finding] | None = None) -> Model:
+        """Trained on ``findings``, or on made ones, with the dictionary of all documents;
+        for the driver, so for tables whose dictionary it can hold.
         """
-        some = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_hf_id"), F.col(text_col).alias("_hf_text"))
-        # Copies share a hash: one of each is taken, so that many of them do not all come.
-        found = least_hashed(some.select(F.xxhash64("_hf_id", "_hf_text").alias("_hf_hash")).distinct(), F.col("_hf_hash"), sample_rows)
-        same = F.broadcast(stored(found, "secrets-rows"))
-        sample = stored(some.withColumn("_hf_hash", F.xxhash64("_hf_id", "_hf_text")).join(same, "_hf_hash").groupBy("_hf_hash").agg(F.first("_hf_text").alias("_hf_text")), "secrets-sample")
-        lexicon = Lexicon.of_documents(sample, "_hf_text")
-        start = F.pmod(F.xxhash64("_hf_text"), F.greatest(F.length("_hf_text") - 80, F.lit(1))) + 1
-        pieces = sorted(r[0] for r in sample.select(F.substr("_hf_text", start.cast("int"), F.lit(80))).collect() if r[0])
-        dropped(docs.sparkSession, sample)
-        return cls.train(findings or labelled_findings(pieces, sorted(lexicon.words)), lexicon)
+        dictionary = Dictionary.of_documents(docs, id_col, text_col)
+        model = cls(dictionary.whole(), trained(dictionary, docs, id_col, text_col, findings).forest)
+        dropped(docs.sparkSession, dictionary.entries)
+        return model
 
     def score(self, path: str, before: str, value: str, after: str) -> float:
         return self.forest.score(features(self.lexicon, path, before, value, after))
 
 
+def trained(dictionary: Dictionary, docs: DataFrame, id_col: str, text_col: str, findings: list[Finding] | None = None) -> Model:
+    """The forest, with what the dictionary says of the findings' values."""
+    if not findings:
+        findings = labelled_findings([], dictionary.drawn(MADE * WORDS_EACH, 13), around=surroundings(docs, id_col, text_col))
+    return Model.train(findings, dictionary.asked_by(f[2] for f in findings))
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """start, end and kind of every candidate, in order; they may overlap. What several
     patterns find at the very same place counts once.
@@ -297,28 +410,70 @@ def without_overlap(found: list[tuple]) -> list[tuple]:
     return out
 
 
+FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("before", pa.string()), ("value", pa.string()), ("after", pa.string())])
+ROWS = pa.schema([("_hf_row", pa.string()), ("_hf_id", pa.int64()), ("_hf_path", pa.string()), ("found", pa.list_(FOUND))])
 SCHEMA = pa.schema([("_hf_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("secret_sha256", pa.string()), ("score", pa.float64())])
 
 
-def find_secrets(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", findings: list[Finding] | None = None, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents (id, path, text) those with candidates, under a name of their own."""
+    for batch in batches:
+        rows = []
+        for key, where, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            text = value.as_py() or ""
+            if found := candidates(text):
+                rows.append((uuid.uuid4().hex, key, where, [(a, b, kind, text[max(0, a - 24) : a], text[a:b], text[b : b + 16]) for a, b, kind in found]))
+        names = [f.name for f in FOUND]
+        rows = [(*r[:3], [dict(zip(names, x, strict=True)) for x in r[3]]) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, ROWS.types, strict=True)], schema=ROWS)
+
+
+def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row and part for all that the values of a row ask; a part may come again."""
+    out = lambda row, parts: pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.string()), pa.array(sorted(parts), pa.string())], names=["_hf_row", "part"])
+    for batch in batches:
+        for row, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts: set[str] = set()
+            for x in found:
+                for part in asked(x["value"].as_py()):
+                    parts.add(part)
+                    if len(parts) == 50_000:
+                        yield out(row, parts)
+                        parts = set()
+            yield out(row, parts)
+
+
+def find_secrets(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", findings: list[Finding] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each secret: ``id_col``, start and end (code points), kind,
     secret_sha256 and the forest's score. ``findings`` are the labelled ones.
     """
-    held = docs.sparkSession.sparkContext.broadcast(Model.fit(docs, id_col, text_col, findings, sample_rows))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("_hf_id"), path.alias("_hf_path"), F.col(text_col).alias("_hf_text"))
+    rows = stored(rows.mapInArrow(scan, "_hf_row string, _hf_id long, _hf_path string, found array<struct<start:long,end:long,kind:string,before:string,value:string,after:string>>"), "secrets-candidates")
+    dictionary = Dictionary.of_documents(docs, id_col, text_col)
+    total = dictionary.total
+    held = spark.sparkContext.broadcast(trained(dictionary, docs, id_col, text_col, findings).forest)
+    asks = stored(rows.select("_hf_row", "found").mapInArrow(ask, "_hf_row string, part string"), "secrets-asked")
+    said = dictionary.entries.join(asks.groupBy("part").agg(F.count("*").alias("size")), "part")
+    known = spread_join(asks, said, ["part"], "size", asks.count()).groupBy("_hf_row").agg(F.collect_set(F.struct("part", F.col("n"))).alias("known"))
+    known = stored(known, "secrets-known")
+    for done in (asks, dictionary.entries):
+        dropped(spark, done)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = held.value
         for batch in batches:
             rows = []
-            for key, where, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = value.as_py() or ""
-                judged = [(a, b, kind, model.score(where or "", text[max(0, a - 24) : a], text[a:b], text[b : b + 16])) for a, b, kind in candidates(text)]
-                for a, b, kind, score in without_overlap([x for x in judged if x[3] >= threshold]):
-                    rows.append((key, a, b, kind, hashlib.sha256(text[a:b].encode()).hexdigest(), score))
+            for key, where, found, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                model = Model(Lexicon.of_entries([(x["part"], x["n"]) for x in known.as_py() or []], total), forest)
+                all_found = found.as_py()
+                judged = [(x["start"], x["end"], x["kind"], model.score(where or "", x["before"], x["value"], x["after"]), x["value"]) for x in all_found]
+                for a, b, kind, score, value in without_overlap([x for x in judged if x[3] >= threshold]):
+                    rows.append((key, a, b, kind, hashlib.sha256(value.encode()).hexdigest(), score))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, SCHEMA.types, strict=True)], schema=SCHEMA)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_hf_id"), path.alias("_hf_path"), F.col(text_col).alias("_hf_text"))
-    return rows.mapInArrow(scan, "_hf_id long, start long, end long, kind string, secret_sha256 string, score double").withColumnRenamed("_hf_id", id_col)
+    rows = rows.join(known, "_hf_row", "left").select("_hf_id", "_hf_path", "found", "known")
+    return rows.mapInArrow(judge, "_hf_id long, start long, end long, kind string, secret_sha256 string, score double").withColumnRenamed("_hf_id", id_col)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,25 @@ def test_keys_inside_longer_runs(spark, docs):
 
 def test_overlap_is_resolved_by_kind():
     assert S.without_overlap([(0, 30, "long"), (5, 40, "assigned"), (10, 20, "known"), (22, 30, "known"), (40, 60, "long")]) == [(10, 20, "known"), (22, 30, "known"), (40, 60, "long")]
+
+
+def test_dictionary_is_that_of_all_documents(spark, docs):
+    """Every word that two of 3,000 documents hold, and all transitions of such words."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    table = docs([(i, f"the {letters(i // 2)}word stands and once{letters(i)} here") for i in range(3000)])
+    want = {"the", "stands", "and", "here"} | {letters(i) + "word" for i in range(1500)}
+    lexicon = S.Model.fit(table, "doc_id", "text", S.labelled_findings(["a piece"], ["word"], 40)).lexicon
+    same = S.Lexicon.of(want)
+    assert lexicon.words == want and lexicon.pairs == same.pairs and lexicon.floor == same.floor
+    around = S.surroundings(table, "doc_id", "text")
+    assert sum(n for _, _, n in around) == 3000 and len({S.profile(a, b) for a, b, _ in around}) == len(around)
+
+
+def test_asked_parts_are_enough():
+    words = ["word", "ward", "éclair", "abc", "straße"]
+    whole = S.Lexicon.of(words)
+    entries = [(w, None) for w in words] + [(p, round(2.718281828459045 ** (x - whole.floor)) - 1) for p, x in whole.pairs.items()]
+    total = round(2.718281828459045**-whole.floor)
+    for value in ["xxWORDabc9éclair", "ward_STRASSE-straße", "a1" * 50, "", "é", "İward"]:
+        some = S.Lexicon.of_entries([e for e in entries if e[0] in set(S.asked(value))], total)
+        assert some.coverage(value) == whole.coverage(value) and abs(some.written(value) - whole.written(value)) < 1e-12
