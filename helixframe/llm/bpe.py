@@ -21,6 +21,9 @@ repeated rows give one row each; an empty table gives no rows; only ``id_col`` a
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,23 @@ LEAF_CHARS = 4096
 PIECE_CHARS = 1 << 16
 #: Pieces without a space in a generation of a Python worker's cache.
 CACHE = 400_000
+#: Characters in such a generation, from which it counts as full too.
+CACHE_CHARS = 1 << 23
+#: Characters of documents that are looked up together.
+BATCH_CHARS = 1 << 21
+#: Runs of letters that are encoded together.
+RUNS = 1000
+#: Marks that are parted from the letters before them (not the apostrophe: 's is a token).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: How a vocabulary must take texts for runs of letters to be encoded together.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Characters between a join and the tokens that must agree; above the longest special token.
 GUARD = 64
 
@@ -48,6 +69,7 @@ GUARD = 64
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core; idle threads would spin
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
@@ -138,80 +160,165 @@ def tree_encoded(own, text: str, leaf: int = LEAF_CHARS) -> Encoded:
 
 
 def _folds(own) -> bool:
-    """Does the vocabulary take A-Z as a-z, and a mark after letters by itself?"""
+    """Does the vocabulary take A-Z as a-z?"""
     tokens = lambda t: own.encode(t, add_special_tokens=False).ids
-    return tokens(UPPER) == tokens(LOWER) and all(tokens(f"ab{c}") == tokens("ab") + tokens(c) for c in ".,")
+    return tokens(UPPER) == tokens(LOWER)
+
+
+def _run_end(own) -> str:
+    """What the last token of each run of letters ends in, and no other token; empty
+    if this vocabulary is not known to part letters, digits and marks like that.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    made = json.loads(own.to_str())
+    end = made["model"].get("end_of_word_suffix")
+    known = (
+        end
+        and made["decoder"] is None
+        and (made["normalizer"], made["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        and all(c + end in made["model"]["vocab"] for c in ByteLevel.alphabet())
+        and all(re.search(r"[^\w\s][^\W_]", t["content"]) for t in made["added_tokens"])  # not in letters followed by marks
+    )
+    return end if known else ""
 
 
 class Encoder:
     """Encodes and decodes whole texts, with a cache of the pieces between spaces
     in two generations: when the young one is full, the old one is forgotten.
+
+    New pieces that are runs of letters are encoded many at a time, with a space
+    between, and told apart by the tokens that end a run. As each has one run at
+    least, as many ends as pieces mean that each has one; else they are encoded
+    one by one. Marks behind letters are a piece of their own.
     """
 
     def __init__(self, path: str, leaf: int = LEAF_CHARS) -> None:
-        self.own, self.leaf, self.young, self.old = tokenizer(path), leaf, {}, {}
-        self.long: list[str] = []
-        self.folds = _folds(self.own)
+        self.own, self.leaf, self.young, self.old, self.chars = tokenizer(path), leaf, {}, {}, 0
+        self.folds, self.end, self.closing = _folds(self.own), _run_end(self.own), {}
         size = self.own.get_vocab_size(with_added_tokens=True)
         self.names = [str(i) for i in range(size)]
         # Without a decoder the decoded text is the tokens with a space between.
         self.signs = [self.own.id_to_token(i) or "" for i in range(size)] if self.own.decoder is None else None
+        if self.end:
+            after = ["\n" if t.endswith(self.end) else " " for t in self.signs]
+            self.run_names = [x + y for x, y in zip(self.names, after, strict=True)]
+            self.run_signs = [x + y for x, y in zip(self.signs, after, strict=True)]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and the two digests."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        if self.folds and "<|" not in text:  # special tokens are told by their case
-            text = text.encode().translate(ASCII_FOLD).decode()
-        pieces = [w for w in text.replace("\n", " ").split(" ") if w]
+        return tuple(column[0] for column in self.digests([text]))
+
+    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: number of tokens, and the two digests."""
+        raw = [t.encode() for t in texts]
+        # Special tokens are told by their case.
+        raw = [t.translate(ASCII_FOLD) if self.folds and b"<|" not in t else t.replace(b"\n", b" ") for t in raw]
+        rows = pc.split_pattern(pa.array(raw, pa.large_binary()).view(pa.large_string()), " ")
+        coded = rows.flatten().dictionary_encode()
+        pieces = _joined(coded.dictionary, [0, len(coded.dictionary)])[0].as_py().split(" ")
+        entries = self.entries(pieces)
+        some = np.array([x != "" for x in entries])
+        both = "\t".join([x or "\t" for x in entries]).split("\t")
+        names, signs = pa.array(both[::2], pa.large_string()), pa.array(both[1::2], pa.large_string())
+        codes = coded.indices.to_numpy()
+        kept = some[codes]
+        codes, offsets = codes[kept], _sums(kept)[rows.offsets.to_numpy()]
+        counts = _sums((pc.count_substring(names, " ").to_numpy() + 1)[codes])[offsets]
+        whole = [_joined(x.take(pa.array(codes)), offsets) for x in (names, signs)]
+        return np.diff(counts).tolist(), *([hashlib.sha256(t).hexdigest() for t in x.view(pa.large_binary()).to_pylist()] for x in whole)
+
+    def entries(self, pieces: list[str]) -> list[str]:
+        """Of each piece: identifiers, a tab, and the decoded text, which holds no tab;
+        of one without tokens: nothing.
+        """
+        if len(self.young) > CACHE or self.chars > CACHE_CHARS:
+            self.old, self.young, self.chars = self.young, {}, 0
         found = list(map(self.young.get, pieces))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            self.learn({pieces[i] for i in missing})
-            for i in missing:
-                found[i] = self.young[pieces[i]]
-        # Each entry is identifiers, a tab, and the decoded text, which holds no tab.
-        both = "\t".join([x for x in found if x] if "" in found else found).split("\t")
-        ids_text = " ".join(both[::2])
-        digest = (ids_text.count(" ") + 1 if ids_text else 0, _hex(ids_text), _hex(" ".join(both[1::2])))
-        for w in self.long:  # these are not kept
-            del self.young[w]
-        self.long.clear()
-        return digest
-
-    def learn(self, pieces: set[str]) -> None:
-        """Puts the pieces into the young generation."""
-        known, old = self.young, self.old
-        new, ending = [], []
-        for w in pieces:
+        missing = [i for i, x in enumerate(found) if x is None]
+        learned = self.learn({pieces[i] for i in missing})
+        for i in missing:
+            found[i] = learned[pieces[i]]
+        return found
+
+    def learn(self, pieces: set[str]) -> dict[str, str]:
+        """The entries of pieces that are not in the young generation; puts them there,
+        but for long ones.
+        """
+        young, old = self.young, self.old
+        known: dict[str, str] = {}
+        runs, rest, long, ending = set(), set(), [], {}
+
+        def sort(w: str) -> None:
             if w in old:
                 known[w] = old[w]
-            elif len(w) > self.leaf:
-                self.long.append(w)
-            elif self.folds and len(w) > 1 and w[-1] in ".," and w[-2].lower().isalpha():
-                ending.append(w)  # letters end before the mark, which is a piece of its own
             else:
-                new.append(w)
-        parts = {p for w in ending for p in (w[:-1], w[-1])}.difference(known, new)
-        for p in parts:
-            if p in old:
-                known[p] = old[p]
+                (runs if self.end and w.isalpha() else rest).add(w)
+
+        for w in pieces:
+            if len(w) > self.leaf:
+                long.append(w)
+            elif self.end and w not in old and (head := w.rstrip(MARKS)) != w and head.isalpha() and self.closes(head[-1]):
+                ending[w] = head, w[len(head) :]
             else:
-                new.append(p)
-        if new or self.long:
-            ids = [e.ids for e in self.own.encode_batch_fast(new, add_special_tokens=False)]
-            ids += [tree_encoded(self.own, w, self.leaf).ids.tolist() for w in self.long]
-            names, signs = self.names, self.signs
-            decoded = [" ".join([signs[t] for t in i]) for i in ids] if signs else self.own.decode_batch(ids, skip_special_tokens=False)
-            for w, i, d in zip(new + self.long, ids, decoded, strict=True):
-                known[w] = " ".join([names[t] for t in i]) + "\t" + d if i else ""
-        for w in ending:
-            a, b = known[w[:-1]], known[w[-1]]
-            if a and b:
-                (x, y), (u, v) = a.split("\t"), b.split("\t")
-                known[w] = f"{x} {u}\t{y} {v}"
+                sort(w)
+        for p in {p for pair in ending.values() for p in pair}:
+            if p not in young:
+                sort(p)
+        rest.update(self.encode_runs(list(runs), known))
+        if rest:
+            rest = list(rest)
+            known.update(zip(rest, self.written([e.ids for e in self.own.encode_batch_fast(rest, add_special_tokens=False)]), strict=True))
+        parts = {p: known[p] if p in known else young[p] for pair in ending.values() for p in pair}
+        for w, (head, marks) in ending.items():
+            (x, y), (u, v) = parts[head].split("\t"), parts[marks].split("\t")
+            known[w] = f"{x} {u}\t{y} {v}"
+        young.update(known)
+        self.chars += sum(map(len, known)) + sum(map(len, known.values()))
+        return known | dict(zip(long, self.written([tree_encoded(self.own, w, self.leaf).ids.tolist() for w in long]), strict=True))
+
+    def encode_runs(self, pieces: list[str], known: dict[str, str]) -> list[str]:
+        """Puts entries of pieces of letters into ``known``; returns those that are left."""
+        chunks = [pieces[i : i + RUNS] for i in range(0, len(pieces), RUNS)]
+        left = []
+        for chunk, e in zip(chunks, self.own.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = e.ids
+            names, signs = ("".join([of[t] for t in ids]).split("\n")[:-1] for of in (self.run_names, self.run_signs))
+            if len(names) == len(chunk):
+                known.update(zip(chunk, map("\t".join, zip(names, signs, strict=True)), strict=True))
             else:
-                known[w] = a or b
+                left += chunk
+        return left
+
+    def closes(self, letter: str) -> bool:
+        """Does a run of letters that ends in this one end before a mark? Not if it is
+        taken apart into a letter and an accent.
+        """
+        if letter not in self.closing:
+            tokens = lambda t: self.own.encode(t, add_special_tokens=False).ids
+            self.closing[letter] = tokens(f"ab{letter}.") == tokens(f"ab{letter}") + tokens(".")
+        return self.closing[letter]
+
+    def written(self, ids: list[list[int]]) -> list[str]:
+        """The entries of encodings."""
+        names, signs = self.names, self.signs
+        decoded = [" ".join([signs[t] for t in i]) for i in ids] if signs else self.own.decode_batch(ids, skip_special_tokens=False)
+        return [" ".join([names[t] for t in i]) + "\t" + d if i else "" for i, d in zip(ids, decoded, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, leaf: int) -> Encoder:
+    """That of a Python worker: its cache serves the tasks to come."""
+    return Encoder(path, leaf)
+
+
+def _joined(texts: pa.Array, offsets: list | np.ndarray) -> pa.Array:
+    """The texts from each offset to the next, with a space between."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, texts), pa.scalar(" ", pa.large_string()))
+
+
+def _sums(of: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(of, dtype=np.int64)])
 
 
 def _hex(text: str) -> str:
@@ -235,15 +342,23 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, leaf_chars)
-        rows: list[tuple] = []
+        own = encoder(vocabulary, leaf_chars)
+        keys: list = []
+        texts: list[str] = []
+        chars = 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, *own.digests(texts)), SCHEMA.types, strict=True)], schema=SCHEMA)
+
         for key, text in _texts(batches):
-            rows.append((key, *encoder.digest(text or "")))
-            if len(rows) == 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+            keys.append(key)
+            texts.append(text or "")
+            chars += len(texts[-1])
+            if chars > BATCH_CHARS or len(keys) == 4096:
+                yield done()
+                keys, texts, chars = [], [], 0
+        if keys:
+            yield done()
 
     cut_schema = pa.schema([("_hf_key", pa.string()), ("_hf_id", pa.int64()), ("_hf_piece", pa.int32()), ("_hf_text", pa.string())])
 

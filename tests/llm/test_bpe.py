@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -42,3 +43,56 @@ def test_documents(spark, docs, piece):
     got = bpe.bpe_digests(docs(rows, ["n_tokens", "score"]), PATH, leaf_chars=100, piece_chars=piece).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted(((i, *want(t or "")) for i, t in rows), key=str)
     assert bpe.bpe_digests(docs([]), PATH).count() == 0
+
+
+def test_letters_that_come_apart_before_a_mark():
+    e = bpe.Encoder(PATH)
+    for c in "יִक़ড়ଢ଼གྷİé":  # all but the last become a letter and an accent
+        for t in (f"x{c}.", f"{c},", f"a{c}!? {c}... ab{c}", f"{c}b.", f"A{c}. the ofand"):
+            assert e.digest(t) == want(t)
+
+
+class Counted:
+    """A tokenizer that counts what it is given."""
+
+    def __init__(self, own):
+        self.own, self.inputs = own, 0
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.inputs += len(texts)
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdeéß") for _ in range(rnd.randint(5, 12))) + rnd.choice(["", ".", ",", "!!", ".***"]) for _ in range(4_000)]
+    e = bpe.Encoder(PATH)
+    e.own = Counted(e.own)
+    assert e.digest(" ".join(words)) == want(" ".join(words))
+    assert e.own.inputs < 20
+
+
+def test_texts_together_equal_library(monkeypatch):
+    monkeypatch.setattr(bpe, "RUNS", 7)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 5_000)
+    e = bpe.Encoder(PATH, leaf=50)
+    rnd = random.Random(5)
+    more = [*BITS, "יִ", "क़.", "***", "don't", "<|endoftext", "|>", "\t", "\x85", "　", "_", "ǅ", "Ᲊ", "\U000323b0", "가", "가"]
+    for _ in range(60):
+        some = ["".join(rnd.choice(more) for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(1, 12))]
+        assert list(zip(*e.digests(some), strict=True)) == [want(t) for t in some]
+    assert sum(map(len, e.young)) < 10_000
+
+
+def test_other_vocabulary(tmp_path):
+    made = json.loads(open(PATH).read())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}+\.?|[^\s\p{L}]"  # letters and a mark are one
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    e = bpe.Encoder(str(tmp_path / "other.json"))
+    own = bpe.tokenizer(str(tmp_path / "other.json"))
+    for t in texts(6, 100, 80):
+        ids = own.encode(t, add_special_tokens=False).ids
+        assert e.digest(t)[:2] == (len(ids), bpe._hex(" ".join(map(str, ids))))
