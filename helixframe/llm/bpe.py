@@ -20,12 +20,16 @@ repeated rows give one row each; an empty table gives no rows; only ``id_col`` a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import json
 import os
 import re
+import threading
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +50,8 @@ PIECE_CHARS = 1 << 16
 CACHE = 400_000
 #: Characters in such a generation, from which it counts as full too.
 CACHE_CHARS = 1 << 23
+#: Seconds without a task after which a Python worker forgets vocabulary and cache.
+IDLE_SECONDS = 5.0
 #: Characters of documents that are looked up together.
 BATCH_CHARS = 1 << 21
 #: Runs of letters that are encoded together.
@@ -312,6 +318,35 @@ def encoder(path: str, leaf: int) -> Encoder:
     return Encoder(path, leaf)
 
 
+#: What waits to forget the encoder of this Python worker.
+_waiting: list[threading.Timer] = []
+
+
+@contextmanager
+def lent_encoder(path: str, leaf: int) -> Iterator[Encoder]:
+    """The encoder for one task. Spark keeps idle workers while other stages run, also
+    those that need the memory and have no Python: so it is forgotten when none follows.
+    """
+    while _waiting:
+        _waiting.pop().cancel()
+    try:
+        yield encoder(path, leaf)
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, _forget)
+        timer.daemon = True
+        timer.start()
+        _waiting.append(timer)
+
+
+def _forget() -> None:
+    encoder.cache_clear()
+    tokenizer.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _joined(texts: pa.Array, offsets: list | np.ndarray) -> pa.Array:
     """The texts from each offset to the next, with a space between."""
     return pc.binary_join(pa.LargeListArray.from_arrays(offsets, texts), pa.scalar(" ", pa.large_string()))
@@ -342,7 +377,10 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, leaf_chars)
+        with lent_encoder(vocabulary, leaf_chars) as own:
+            yield from encoded(own, batches)
+
+    def encoded(own: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         texts: list[str] = []
         chars = 0

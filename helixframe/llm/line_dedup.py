@@ -32,6 +32,8 @@ Only the named columns are read; clean_documents() keeps all columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,12 +157,12 @@ def one_edit(a: Column, b: Column) -> Column:
     """Are two different word arrays one edit apart? ``a`` is not the shorter."""
     n, m = F.size(a), F.size(b)
 
-    def common(x: Column, y: Column) -> Column:
+    def common(place: Callable[[Column, Column], Column]) -> Column:
         # Place of the first difference: the words that are equal up to it.
-        differ = F.filter(F.sequence(F.lit(0), m - 1), lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
+        differ = F.filter(F.sequence(F.lit(0), m - 1), lambda i: ~F.get(a, place(n, i)).eqNullSafe(F.get(b, place(m, i))))
         return F.coalesce(F.array_min(differ), m)
 
-    return (n - m <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= n - 1)
+    return (n - m <= 1) & (common(lambda _, i: i) + common(lambda size, i: size - 1 - i) >= n - 1)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -214,10 +216,16 @@ def clean_documents(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", te
     # Whole rows in one column: no name of a caller's column can clash.
     joined = docs.select(F.struct("*").alias("_hf_row")).join(lists, F.col("_hf_row")[id_col] == F.col("_hf_doc"), "left")
     old = F.col("_hf_row")[text_col]
-    lines = F.split(old, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_hf_gone")
-    text = F.when(F.col("_hf_gone").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    kept = joined.select("_hf_row", "_hf_gone", text.alias("_hf_text")).filter(F.col("_hf_gone").isNull() | F.rlike("_hf_text", F.lit("[^ \\t\\n\\x0B\\f\\r]")))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_hf_gone")
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # A function over an array of one binds the lines: a split in the innermost function
+    # would be done for each line. An outer generator, as in worded_lines().
+    text = F.when(F.col("_hf_gone").isNull(), old).otherwise(F.get(F.transform(F.array(F.split(old, "\n", -1)), rest), F.lit(0)))
+    some = joined.select("_hf_row", "_hf_gone", F.explode_outer(F.array(text)).alias("_hf_text"))
+    kept = some.filter(F.col("_hf_gone").isNull() | F.rlike("_hf_text", F.lit("[^ \\t\\n\\x0B\\f\\r]")))
     return kept.select(*[F.col("_hf_text").alias(text_col) if c == text_col else F.col("_hf_row")[c].alias(c) for c in docs.columns])
 
 

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -96,3 +97,16 @@ def test_other_vocabulary(tmp_path):
     for t in texts(6, 100, 80):
         ids = own.encode(t, add_special_tokens=False).ids
         assert e.digest(t)[:2] == (len(ids), bpe._hex(" ".join(map(str, ids))))
+
+
+def test_idle_worker_forgets(monkeypatch):
+    """The encoder serves the tasks that follow, and is not kept while none does."""
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.5)
+    bpe.encoder.cache_clear()
+    with bpe.lent_encoder(PATH, bpe.LEAF_CHARS) as own:
+        time.sleep(1)
+    with bpe.lent_encoder(PATH, bpe.LEAF_CHARS) as again:
+        time.sleep(1)  # what waited after the first task does not disturb the second
+        assert again is own and bpe.encoder.cache_info().currsize == 1
+    time.sleep(1.5)
+    assert bpe.encoder.cache_info().currsize == 0 and bpe.tokenizer.cache_info().currsize == 0

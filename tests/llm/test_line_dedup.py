@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import line_dedup as L
 
@@ -88,3 +89,21 @@ def test_texts_are_split_once(spark, docs):
     assert filters and not any("split(" in x or "replace(" in x for x in filters) and plan.count("split(text") + plan.count("split(replace") == 1
     got = L.worded_lines(docs([(1, "some  words\n \t\nof\ttwo lines"), (2, None), (None, "a b"), (3, "")]), "doc_id", "text").collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, "some words"), (1, 2, "of two lines")]
+
+
+def test_left_texts_are_made_once(spark, docs):
+    """A text that loses lines is split once, not for each line that stays, nor again to see
+    whether any words are left; ends of lines are compared without turning them round.
+    """
+    gone = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 2)], "doc long, line long")
+    data = [(1, "a b\nc\n d\t\n"), (2, "only\n \t"), (3, "x\ny\nz"), (4, None), (5, "kept"), (None, "e\nf")]
+    cleaned = L.clean_documents(docs(data), gone)
+    assert {(r.doc_id, r.text) for r in cleaned.collect()} == {(1, "a b\n d\t\n"), (3, "y"), (4, None), (5, "kept"), (None, "e\nf")}
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    long = "\n".join(f"row {i}" for i in range(30_000))
+    (row,) = L.clean_documents(docs([(1, long)]), gone.filter("doc = 1")).collect()
+    assert row.text == long.replace("row 1\n", "", 1)
+    pairs = spark.createDataFrame([("a b c d", "a b c"), ("a b c d", "b c d"), ("a b c d", "a c d"), ("a b c d", "a x c d"), ("a b c d", "x b c y"), ("a a a a", "a a a"), ("a b c d", "d c b")], "a string, b string")
+    edit = pairs.select(L.one_edit(F.split("a", " "), F.split("b", " ")).alias("e"))
+    assert [r.e for r in edit.collect()] == [True, True, True, True, False, True, False] and "reverse(" not in edit._jdf.queryExecution().optimizedPlan().toString()
