@@ -1,7 +1,13 @@
 """Queries on odd rows and on tables that grow: against their SQL or a plainer form."""
 
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 
+from helixframe.functions import codec
+from helixframe.operators import kmers, segments
 from helixframe.plans import catalog
 
 
@@ -28,3 +34,62 @@ def as_query(spark, name, path):
 def test_number_codes_of_nothing_and_of_none(spark, tmp_path):
     sf = documents(spark, tmp_path, [(i, "x", "en", "s", n) for i, n in enumerate([0, 0, None, 1, 127, 128, 499, 500, 999, 1000, 16511, 16512, 2113664])])
     assert as_query(spark, "fn42_number_codes", sf) == as_sql("fn42_number_codes", sf)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_contigs(spark, seed, n=40):
+    rnd = random.Random(seed)
+    parent = "".join(rnd.choices("ACGT", (5, 2, 1, 4), k=900))
+    rows = [("s0" if i < 4 else f"s{i % 3}", f"c{i}", "".join(c if rnd.random() > 0.02 else rnd.choice("ACGTN") for c in parent[rnd.randint(0, 300) : rnd.randint(300, 900)])) for i in range(n)]
+    return spark.createDataFrame([*rows, ("s1", "none", None), ("s1", "empty", ""), ("s2", "short", "ACG"), ("s2", "n", "N" * 50)], "sample string, contig string, seq string")
+
+
+def by_shuffle(monkeypatch):
+    for where in (kmers, segments):
+        monkeypatch.setattr(where, "EXACT_K", 0)
+
+
+def test_contigs_are_cut_where_they_are(spark, monkeypatch):
+    df = some_contigs(spark, 1)
+    first = segments.first_sample(df)
+    told = {}
+    for way in ("here", "by shuffle"):
+        if way == "by shuffle":
+            by_shuffle(monkeypatch)
+        split = segments.determine_splitters(first, 9, 60)["splitters"]
+        single = kmers.contig_counts(df, 9).filter("n = 1").select("kmer")
+        known = kmers.contig_counts(first, 9).select("kmer")
+        out = [split, single, kmers.occurrences(df, 9, split), segments.segment(df, split, 9), segments.segment(df, split, 9, reset=False), segments.segment(df, split, 9, whole_tail=False), segments.splitters_among(df, single, 9, 60), segments.splitters_among(df, single, 9, 60, to_break=False)]
+        out += [segments.new_splitters(df, kmers.enumerate_kmers(df, 9), known, 9, 60), segments.adaptive_splitters(df, 9, 60)]
+        told[way] = [sorted(map(str, x.select(*sorted(x.columns)).collect())) for x in out]
+        if way == "here":  # nothing of a contig meets anything but what was broadcast
+            assert not [i for i in (2, 3, 4, 5, 6, 7, 8) if "Exchange" in plan(out[i])]
+    assert told["here"] == told["by shuffle"]
+    assert all(told["here"])
+
+
+def test_long_contigs_are_read_in_parts(monkeypatch):
+    rnd = random.Random(5)
+    seqs = pa.array(["".join(rnd.choices("ACGTN", (9, 2, 1, 4, 0.1), k=n)) for n in (30, 700, 0, 5, 64, 65, 300)])
+    whole = [[np.concatenate(x).tolist() for x in zip(*f(seqs, 5))] for f in (kmers.scanned, kmers.own_singles)]
+    spaced = segments.Spaced(7)
+    rows, pos = (np.array(x) for x in whole[0][:2])
+    once = spaced.take(rows, pos).tolist()
+    monkeypatch.setattr(kmers, "BLOCK", 64)
+    assert [[np.concatenate(x).tolist() for x in zip(*f(seqs, 5))] for f in (kmers.scanned, kmers.own_singles)] == whole
+    spaced, parts, before = segments.Spaced(7), [], 0
+    for row, place, _, _ in kmers.scanned(seqs, 5):
+        parts += (spaced.take(row, place) + before).tolist()
+        before += len(row)
+    assert parts == once
+
+
+def test_letters_of_texts(spark, tmp_path):
+    texts = ["aCgTn NN x", "", None, "ünïcode ẗ ﬆ Tag", "\n\t", "GATTACA" * 3]
+    sf = documents(spark, tmp_path, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert [r.seq for r in catalog.contigs(spark, sf, "N").orderBy("contig").collect()] == ["ACGTNNN", "", None, "NCTAG", "", "GATTACA" * 3]
+    want = pa.array(texts).slice(3, 3)
+    assert codec.only_bases_column(want).to_pylist() == ["CTAG", "", "GATTACA" * 3]
