@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 
 from helixframe.functions import codec
-from helixframe.operators import kmers, segments
-from helixframe.plans import catalog
+from helixframe.operators import grouping, kmers, segments
+from helixframe.plans import catalog, collection
+from helixframe.plans.tables import stored
 
 
 def documents(spark, path, rows):
@@ -93,3 +94,94 @@ def test_letters_of_texts(spark, tmp_path):
     assert [r.seq for r in catalog.contigs(spark, sf, "N").orderBy("contig").collect()] == ["ACGTNNN", "", None, "NCTAG", "", "GATTACA" * 3]
     want = pa.array(texts).slice(3, 3)
     assert codec.only_bases_column(want).to_pylist() == ["CTAG", "", "GATTACA" * 3]
+
+
+def test_shared_kmers_add_up_without_a_join(spark, monkeypatch):
+    df = some_contigs(spark, 2).filter("seq IS NOT NULL")
+    held = {r.contig: {w for i in range(len(r.seq) - 8) if "N" not in (w := canonical(r.seq[i : i + 9]))} for r in df.collect()}
+    index = {g: set(random.Random(g).sample(sorted(held[f"c{g}"]), min(60 + g, len(held[f"c{g}"])))) for g in range(30)}
+    index[41] = index[40] = index[3]  # ties
+    code = lambda w: sum("ACGT".index(c) * 4 ** (8 - i) for i, c in enumerate(w))
+    table = spark.createDataFrame([(code(w), g) for g, some in index.items() for w in some], "kmer long, group_id long")
+    want = set()
+    for contig, own in held.items():
+        best = sorted((-n, g) for g, some in index.items() if (n := len(own & some)) >= 5)[:10]
+        want |= {(contig, g, -n, i + 1) for i, (n, g) in enumerate(best) if 2 * n <= best[0][0]}
+    for size in (grouping.POSTINGS, 700):  # in one part, and in some
+        monkeypatch.setattr(grouping, "POSTINGS", size)
+        got = grouping.shared_kmer_candidates(df, table, 9, 5)
+        assert {(r.contig, r.group_id, r.shared, r.rank) for r in got.collect()} == want
+        assert "Join" not in plan(got)
+
+
+def canonical(word):
+    return min(word, word[::-1].translate(str.maketrans("ACGT", "TGCA")))
+
+
+def plain_tokens(differ, target):
+    """Differ.tokens() base by base."""
+    data, text, out, i, expected = target.tobytes(), differ.text, [], 0, 0
+    alike = lambda i, j: next((n for n in range(min(len(data) - i, len(text) - j)) if data[i + n] != text[j + n]), min(len(data) - i, len(text) - j))
+    single = lambda n: n < len(out) and out[-1 - n][0] in ("literal", "equal")
+    if data == text:
+        return []
+    while i < len(data):
+        run = len(data[i:]) - len(data[i:].lstrip(b"\x04"))
+        if run >= 4:
+            out.append(("run", i, run, 0))
+            i += run
+            continue
+        best = (0, 0, 0)
+        for at in differ.index.get(data[i : i + differ.word], ())[:64]:
+            back = 0
+            while single(back) and at - back > 0 and data[i - back - 1] == text[at - back - 1]:
+                back += 1
+            best = max(best, (alike(i, at) + back, -abs(at - expected), at), key=lambda x: x[:2])
+        if best[0] >= differ.min_match:
+            at, back = best[2], 0
+            while back < len(out) and single(0) and at - back > 0 and data[i - back - 1] == text[at - back - 1]:
+                back += 1
+                out.pop()
+            out.append(("match", i - back, alike(i, at) + back, at - back))
+            i, expected = i + alike(i, at), at + alike(i, at)
+            continue
+        out.append(("equal" if expected < len(text) and text[expected] == data[i] else "literal", i, 1, expected))
+        i, expected = i + 1, expected + 1
+    return out
+
+
+def test_differences_base_by_base():
+    rnd = random.Random(4)
+    for n in range(300):
+        ref = "".join(rnd.choices("ACGTN", (5, 1, 1, 4, 0.2), k=rnd.choice([0, 11, 60, 400]))) * rnd.choice([1, 1, 3])
+        target = "".join(c if rnd.random() > 0.04 else rnd.choice(["", "A", "NNNN", "TTG"]) for c in ref[rnd.randint(0, len(ref)) :] + ref)
+        differ, codes = codec.Differ(codec.to_codes(ref), rnd.choice([5, 12, 20])), codec.to_codes(target)
+        assert differ.tokens(codes) == plain_tokens(differ, codes)
+        text, costs = differ.encode(codes), [differ.costs(codes, at) for at in (True, False)]
+        assert differ.decode(text).tolist() == codes.tolist()
+        assert [c.sum() for c in costs] == [len(text) if len(codes) else 0] * 2 == [differ.estimate(codes)] * 2
+        assert codec.as_list(costs[0]) == ",".join(map(str, costs[0].tolist())).encode()
+
+
+class Seen(bytes):
+    read = 0
+
+    def __getitem__(self, at):
+        out = bytes(self)[at]
+        Seen.read += len(out) if isinstance(at, slice) else 1
+        return out
+
+
+def test_a_match_reads_what_is_alike_only():
+    a, b = Seen(b"\x00\x01" * 50_000), Seen(b"\x00\x01" * 7 + b"\x02" * 99_986)
+    assert codec.Differ._common(a, 0, b, 0) == 14
+    assert Seen.read < 100
+
+
+def test_packs_are_made_once(spark, tmp_path, monkeypatch):
+    """Rows that are dealt by range are told twice unless they are stored."""
+    names = []
+    monkeypatch.setattr(collection, "stored", lambda df, name: names.append(name) or stored(df, name))
+    made = collection.create(some_contigs(spark, 3).filter("seq IS NOT NULL"), str(tmp_path / "c"), k=9, segment_size=60, min_match=12)
+    assert "packs" in names and made.k == 9 and made.min_match == 12
+    assert made.table("params").count() == 1
